@@ -1,6 +1,6 @@
 """Near-duplicates: b-bit MinHash signatures under a multi-index Hamming join.
 
-A text's signature has LANES minima of 16 bits. Two texts of similarity s
+A text's signature has LANES minima of WIDTH bits. Two texts of similarity s
 differ in a lane with probability 1 - s, so pairs to be found differ in at
 most `radius` lanes but for a chance of about 1 in 10,000 at the threshold
 itself. Lanes are split into so many chunks that by the pigeonhole principle
@@ -11,9 +11,12 @@ keys of which every such pair shares one. Links are confirmed on full sets.
 Texts with equal sets are one class with one representative. A bucket (the
 texts that share a key) never is expanded into pairs: its members are first
 compared with its most connected member; once links are joined to components,
-only pairs from different components of a bucket are left to compare, and of
-those the ones within the radius. So no link that matters is lost, and a large
-group of near copies costs about its size.
+only pairs from different components of a bucket are left to compare. A sketch
+with the parity of a set's hashes by bit bounds the size of a symmetric
+difference from below, common parts cancelling out, so pairs that it shows too
+far apart are left inside the join and no link is; a pair that shares several
+keys counts at the first. A large group of near copies gives about as many rows
+as it has members.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from pyspark.sql.window import Window
 from ._shared import durable, map_rows, prepare, table
 from .components import components
 
-LANES = 40
+LANES, WIDTH = 40, 12
 #: Leaders that a text is compared with before components are first formed.
 LEADERS = 2
+#: Bits of a parity sketch.
+BITS = 1024
 CACHE_WORDS, CACHE_SETS = 200_000, 64
 _MASK = (1 << 64) - 1
 _random = np.random.default_rng(20240229)
@@ -74,12 +79,13 @@ class Shingler:
         return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """LANES 16-bit minima."""
+def signature(shingles: np.ndarray, r: int) -> np.ndarray:
+    """LANES minima, the lanes of each chunk in a long."""
     low = np.full(LANES, _MASK, dtype=np.uint64)
     for i in range(0, len(shingles), 2048):
         np.minimum(low, ((shingles[i : i + 2048, None] ^ SEEDS) * ODD).min(axis=0), out=low)
-    return (_mixed(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    lanes = _mixed(low) & np.uint64((1 << WIDTH) - 1)
+    return np.array([np.bitwise_or.reduce(lanes[c] << (np.arange(len(c), dtype=np.uint64) * np.uint64(WIDTH))) for c in chunks(r)], dtype=np.uint64)
 
 
 def radius(num: int, den: int, miss: float = 1e-4) -> int:
@@ -98,31 +104,64 @@ def chunks(r: int) -> list[np.ndarray]:
     return np.array_split(np.arange(LANES), (r + 2) // 2)
 
 
-def keys(lanes: np.ndarray, r: int) -> np.ndarray:
-    """Of each row of lanes, a key for each chunk and each lane of it left out."""
-    out, wide = [], lanes.astype(np.uint64)
-    for c, chunk in enumerate(chunks(r)):
-        for skip in range(len(chunk)):
-            h = np.full(len(lanes), (c << 8 | skip) + 1, dtype=np.uint64)
-            for lane in np.delete(chunk, skip):
-                h = _mixed(h * STEP + wide[:, lane])
-            out.append(h)
+def slots(r: int) -> list[tuple[int, int]]:
+    """Chunk and lane left out of each key."""
+    return [(c, skip) for c, chunk in enumerate(chunks(r)) for skip in range(len(chunk))]
+
+
+def keys(packed: np.ndarray, r: int) -> np.ndarray:
+    """Of each row of packed chunks, a key for each chunk and each lane of it left out."""
+    lane, out = (1 << WIDTH) - 1, []
+    for c, skip in slots(r):
+        rest = packed[:, c] & np.uint64(_MASK ^ (lane << (WIDTH * skip)))
+        out.append(_mixed(rest ^ _mixed(np.full(len(packed), (c << 8 | skip) + 1, dtype=np.uint64) * STEP)))
     return np.stack(out, axis=1)
 
 
-def distance(a: str, b: str) -> Column:
-    """Lanes in which two array<long> signatures differ."""
+def errors(c: int) -> Column:
+    """Lanes in which chunk `c` of a_sig and b_sig differ."""
+    x = F.col("a_sig")[c].bitwiseXOR(F.col("b_sig")[c])
+    for shift in (6, 3):  # gathers each lane of 12 bits in its lowest three
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x001001001001001)))
+
+
+def first_shared(r: int) -> Column:
+    """Whether a_slot is the first key that a_sig and b_sig share."""
+    table = slots(r)
+    chunk = F.element_at(F.array(*[F.lit(c) for c, _ in table]), F.col("a_slot") + 1)
+    skip = F.element_at(F.array(*[F.lit(k) for _, k in table]), F.col("a_slot") + 1)
+    first = None
+    for c in range(len(chunks(r))):
+        first = F.when(errors(c) <= 1, F.lit(c)) if first is None else first.when(errors(c) <= 1, F.lit(c))
+    return (chunk == first) & ((skip == 0) | (F.col("a_sig")[chunk] != F.col("b_sig")[chunk]))
+
+
+def distance(r: int) -> Column:
+    """Lanes in which a_sig and b_sig differ."""
+    total = F.lit(0)
+    for c in range(len(chunks(r))):
+        total = total + errors(c)
+    return total
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits, each the parity of how many hashes fall on it."""
+    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def differ(a: str, b: str, longs: int) -> Column:
+    """Bits in which the first `longs` of two sketches differ: never more than the sets have elements apart."""
     total = F.lit(0)
-    for i in range(LANES // 4):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for shift in (8, 4, 2, 1):  # gathers each lane in its lowest bit
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+    for i in range(longs):
+        total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
     return total
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a digest of the set), sig (LANES lanes in longs)."""
+def signatures(docs: DataFrame, words: int, r: int) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (a digest of the set), sig (a long for each chunk of lanes), bits (parity sketch)."""
 
     def make():
         sets = Shingler(words)
@@ -135,27 +174,28 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 "n_shingles": [len(s) for s in found],
                 "d1": [int.from_bytes(d[:8], "little", signed=True) for d in digest],
                 "d2": [int.from_bytes(d[8:], "little", signed=True) for d in digest],
-                "sig": [signature(s).view(np.int64).tolist() for s in found],
+                "sig": [signature(s, r).view(np.int64) for s in found],
+                "bits": [parity(s) for s in found],
             }
 
         return work
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, bits array<long>")
 
 
 def index(reps: DataFrame, r: int) -> DataFrame:
-    """key, id: the multi-index of representatives."""
+    """key, id, slot (which of the keys it is): the multi-index of representatives."""
     prepare(reps.sparkSession)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             if len(ids):
-                lanes = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(len(ids), LANES)
-                made = keys(lanes, r)
-                yield pa.RecordBatch.from_pydict({"key": made.view(np.int64).ravel(), "id": np.repeat(ids, made.shape[1])})
+                made = keys(batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1), r)
+                slot = np.tile(np.arange(made.shape[1], dtype=np.int32), len(ids))
+                yield pa.RecordBatch.from_pydict({"key": made.view(np.int64).ravel(), "id": np.repeat(ids, made.shape[1]), "slot": slot})
 
-    return reps.select("id", "sig").mapInArrow(run, "key long, id long")
+    return reps.select("id", "sig").mapInArrow(run, "key long, id long, slot int")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -200,21 +240,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     get a row. Other columns are ignored.
     """
     r = radius(num, den)
-    made = durable(signatures(docs, words), "signatures")
+    made = durable(signatures(docs, words, r), "signatures")
     classes = made.where("n_shingles > 0").groupBy(F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = durable(classes.where("copies > 1").select("c1", "c2", "rep"), "classes")
-    named = made.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left").select("doc_id", "n_shingles", "sig", F.coalesce("rep", "doc_id").alias("id"))
+    named = made.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left").select("doc_id", "n_shingles", "sig", "bits", F.coalesce("rep", "doc_id").alias("id"))
     named = durable(named, "named")
-    reps = named.where("n_shingles > 0 and id = doc_id").select("id", "n_shingles", "sig")
+    reps = named.where("n_shingles > 0 and id = doc_id").select("id", "n_shingles", "sig", "bits")
 
     found = durable(index(reps, r), "index")
     live = durable(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("l_key"), "n"), "live")
-    found = durable(found.join(live, F.col("key") == F.col("l_key")).select("key", "id", "n"), "buckets")
+    found = durable(found.join(live, F.col("key") == F.col("l_key")).select("key", "id", "slot", "n"), "buckets")
     # the most connected member of a bucket leads it
     ties = found.groupBy("id").agg(F.sum("n").alias("ties"))
     leads = found.select("key", "id").join(ties.withColumnRenamed("id", "t_id"), F.col("id") == F.col("t_id")).groupBy("key").agg(F.max_by("id", F.struct("ties", "id")).alias("leader"))
     leads = durable(leads.select(F.col("key").alias("k_key"), "leader"), "leaders")
-    led = durable(found.join(leads, F.col("key") == F.col("k_key")).select("key", "id", "leader"), "led")
+    led = durable(found.join(leads, F.col("key") == F.col("k_key")).select("key", "id", "slot", "leader"), "led")
     near = led.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("shared"))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "leader"))).where(F.col("r") <= LEADERS)
     first = durable(best.select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct(), "pairs")
@@ -228,15 +268,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # what is left: pairs of one bucket, in different components and within the radius
     of = lambda c, k: group.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(k))
     marked = led.join(of("id", "ci"), F.col("id") == F.col("ci_node"), "left").join(of("leader", "cl"), F.col("leader") == F.col("cl_node"), "left")
-    marked = durable(marked.select("key", "id", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "leader").alias("cl")), "marked")
+    marked = durable(marked.select("key", "id", "slot", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "leader").alias("cl")), "marked")
     odd = marked.where("ci <> cl")
     mixed = durable(odd.select(F.col("key").alias("m_key")).distinct(), "mixed")
-    slim = reps.select(F.col("id").alias("s_id"), "n_shingles", "sig")
-    rows = durable(marked.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(slim, F.col("id") == F.col("s_id")).select("key", "id", "ci", (F.col("ci") != F.col("cl")).alias("odd"), "n_shingles", "sig"), "open")
-    a = rows.where("odd").select(F.col("key").alias("a_key"), F.col("id").alias("a"), F.col("ci").alias("a_c"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"))
-    b = rows.select(F.col("key").alias("b_key"), F.col("id").alias("b"), F.col("ci").alias("b_c"), F.col("odd").alias("b_odd"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"))
+    slim = reps.withColumnRenamed("id", "s_id")
+    rows = durable(marked.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(slim, F.col("id") == F.col("s_id")).select("key", "id", "slot", "ci", (F.col("ci") != F.col("cl")).alias("odd"), "n_shingles", "sig", "bits"), "open")
+    a = rows.where("odd").select(F.col("key").alias("a_key"), F.col("id").alias("a"), F.col("slot").alias("a_slot"), F.col("ci").alias("a_c"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"), F.col("bits").alias("a_bits"))
+    b = rows.select(F.col("key").alias("b_key"), F.col("id").alias("b"), F.col("ci").alias("b_c"), F.col("odd").alias("b_odd"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"), F.col("bits").alias("b_bits"))
     close = (F.col("a_key") == F.col("b_key")) & (F.col("a_c") != F.col("b_c")) & (~F.col("b_odd") | (F.col("a") < F.col("b")))
-    close = close & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n")) & (distance("a_sig", "b_sig") <= r)
+    apart = (F.col("a_n") + F.col("b_n")) * (den - num)  # a link has at most this many elements apart, times num + den
+    close = close & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
+    for longs in (4, BITS // 64):  # the first few settle most
+        close = close & (differ("a_bits", "b_bits", longs) * (num + den) <= apart)
+    close = close & first_shared(r) & (distance(r) <= r)
     rest = a.join(b, close).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     rest = durable(rest.join(first.select(F.col("u").alias("f_u"), F.col("v").alias("f_v")), (F.col("u") == F.col("f_u")) & (F.col("v") == F.col("f_v")), "left_anti"), "rest")
     more = durable(confirm(rest, texts, words, num, den), "more")
