@@ -9,7 +9,7 @@ is long. The nearest language wins, the lesser name among equals.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -19,55 +19,46 @@ from pyspark.sql.window import Window
 
 from ._shared import map_rows, prepare, table
 
-#: n-grams have 1 to MAX_GRAM characters of a word with a blank on either side.
-MAX_GRAM, PROFILE = 3, 400
+#: n-grams have 1 to 3 characters of a word with a blank on either side.
+PROFILE = 400
 #: Labelled rows that profiles are fitted on at most: those with the least hashes.
 TRAIN_ROWS = 8000
 UNKNOWN = "und"
-#: Words whose n-grams one worker keeps.
-CACHE_WORDS = 60_000
+_WORDS = re.compile(r"[^\W\d_]+")
+_BLANK, _ONE, _TWO = np.int64(32), np.int64(21), np.int64(42)
 
 
-class _Grams:
-    """n-gram counts of a text; the n-grams of recent words are kept."""
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, by code point, and their counts.
 
-    def __init__(self):
-        self.words, self.cache = re.compile(r"[^\W\d_]+"), {}
-
-    def of_word(self, word: str) -> list[str]:
-        found = self.cache.get(word)
-        if found is None:
-            w = f" {word} "
-            found = [w[i : i + n] for n in range(1, MAX_GRAM + 1) for i in range(len(w) - n + 1) if w[i : i + n] != " "]
-            if len(word) <= 40:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
+    An n-gram is one number, its characters 21 bits each with the first on
+    top, so that numbers sort as the strings do.
+    """
+    words = _WORDS.findall(text.lower())
+    if not words:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    first, letters = c << _TWO, c != _BLANK
+    two = (first[:-1] | c[1:] << _ONE)[letters[:-1] | letters[1:]]
+    three = (first[:-2] | c[1:-1] << _ONE | c[2:])[letters[1:-1]]  # a blank is never in the middle
+    return np.unique(np.concatenate([first[letters], two, three]), return_counts=True)
 
-    def count(self, text: str) -> dict[str, int]:
-        out: dict[str, int] = defaultdict(int)
-        for word, n in Counter(self.words.findall(text.lower())).items():
-            for gram in self.of_word(word):
-                out[gram] += n
-        return out
 
-    def top(self, text: str) -> list[str]:
-        """The PROFILE most frequent n-grams, most frequent first, then by code point."""
-        counts = self.count(text)
-        least = sorted(counts.values(), reverse=True)[PROFILE - 1] if len(counts) > PROFILE else 0
-        return [g for _, g in sorted((-n, g) for g, n in counts.items() if n >= least)][:PROFILE]
+def top(text: str) -> np.ndarray:
+    """The PROFILE most frequent n-grams, most frequent first, then by code point."""
+    found, counts = grams(text)
+    return found[np.argsort(-counts, kind="stable")[:PROFILE]]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, list[str]]]:
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, list[int]]]:
     """Profiles from text and lang of documents that are not held out.
 
     Of rows with text and lang, at most about `rows` are read: those whose
-    doc_id has the least hash. Profiles are a few hundred strings a language,
+    doc_id has the least hash. Profiles are a few hundred numbers a language,
     so they are sent to the driver.
     """
     one = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
@@ -77,21 +68,24 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, list[str]]]:
         return []
 
     def make():
-        grams = _Grams()
-
         def work(c):
-            sums: dict[str, Counter] = defaultdict(Counter)
+            by: dict[str, list] = defaultdict(list)
             for text, lang in zip(c["text"], c["lang"], strict=True):
-                sums[lang].update(grams.count(text))
-            flat = [(lang, g, n) for lang, s in sums.items() for g, n in s.items()]
-            return {"lang": [x[0] for x in flat], "gram": [x[1] for x in flat], "n": [x[2] for x in flat]}
+                by[lang].append(grams(text))
+            out = {"lang": [], "gram": [], "n": []}
+            for lang, found in by.items():
+                keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+                out["lang"] += [lang] * len(keys)
+                out["gram"] += keys.tolist()
+                out["n"] += np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64).tolist()
+            return out
 
         return work
 
-    counts = map_rows(one.where(F.col("h") <= least).select("text", "lang"), make, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_rows(one.where(F.col("h") <= least).select("text", "lang"), make, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked = counts.withColumn("r", rank).where(F.col("r") <= PROFILE).collect()
-    by: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    by: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for x in ranked:
         by[x["lang"]].append((x["r"], x["gram"]))
     return [(lang, [g for _, g in sorted(by[lang])]) for lang in sorted(by)]
@@ -100,26 +94,27 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, list[str]]]:
 class Scorer:
     """Predicts texts from profiles; one for each task."""
 
-    def __init__(self, profiles: list[tuple[str, list[str]]]):
-        self.langs, self.grams = [lang for lang, _ in profiles], _Grams()
-        self.place = {g: i for i, g in enumerate(sorted({g for _, p in profiles for g in p}))}
-        self.ranks = np.full((len(self.place) + 1, max(1, len(profiles))), -1, dtype=np.int32)
-        for k, (_, grams) in enumerate(profiles):
-            for r, g in enumerate(grams):
-                self.ranks[self.place[g], k] = r
+    def __init__(self, profiles: list[tuple[str, list[int]]]):
+        self.langs = [lang for lang, _ in profiles]
+        self.known = np.array(sorted({g for _, p in profiles for g in p}), dtype=np.int64)
+        self.ranks = np.full((len(self.known) + 1, max(1, len(profiles))), -1, dtype=np.int32)
+        for k, (_, found) in enumerate(profiles):
+            self.ranks[np.searchsorted(self.known, np.array(found, dtype=np.int64)), k] = np.arange(len(found))
         self.order = np.arange(PROFILE, dtype=np.int32)[:, None]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        top = self.grams.top(text) if text and self.langs else []
-        if not top:
+        best_grams = top(text) if text and self.langs else ()
+        if not len(best_grams):
             return UNKNOWN, 0.0
-        there = self.ranks[[self.place.get(g, len(self.place)) for g in top]]
-        far = np.where(there < 0, PROFILE, np.abs(there - self.order[: len(top)])).sum(axis=0)
+        at = np.searchsorted(self.known, best_grams)
+        at[self.known[np.minimum(at, len(self.known) - 1)] != best_grams] = len(self.known)
+        there = self.ranks[at]
+        far = np.where(there < 0, PROFILE, np.abs(there - self.order[: len(at)])).sum(axis=0)
         best = int(far.argmin())
-        return self.langs[best], float(1 - far[best] / (PROFILE * len(top)))
+        return self.langs[best], float(1 - far[best] / (PROFILE * len(at)))
 
 
-def identify(docs: DataFrame, profiles: list[tuple[str, list[str]]]) -> DataFrame:
+def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]]) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text; only `text` decides.
 
     A null text and one without a letter are `und` with score 0, and so is any
@@ -141,7 +136,7 @@ def identify(docs: DataFrame, profiles: list[tuple[str, list[str]]]) -> DataFram
     return map_rows(slim, make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known_only(docs: DataFrame, profiles: list[tuple[str, list[str]]]) -> DataFrame:
+def known_only(docs: DataFrame, profiles: list[tuple[str, list[int]]]) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose text has a language. No shuffle."""
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
