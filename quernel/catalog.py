@@ -12,7 +12,7 @@ from .functions import geo, text
 from .operators import index, mutate, vocab
 from .plans import engine
 from .schema import FieldSpec, IndexSpec
-from .session import load
+from .session import load, spread
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,7 @@ HOSTS = IndexSpec.of(5, "event_id", [FieldSpec("event_id", "long"), FieldSpec("i
 
 
 def docs(spark, d):
-    return engine.Index(DOCS, load(spark, d, "documents"))
+    return engine.Index(DOCS, spread(load(spark, d, "documents")))
 
 
 def orders(spark, d):
@@ -111,29 +111,30 @@ def highlight_words(spark, d):
 
 @add("postings_build", f"WITH {TOKENS_CTE} SELECT CAST(doc_id AS VARCHAR) AS doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term")
 def postings_build(spark, d):
-    return index.postings(load(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+    return index.postings(spread(load(spark, d, "documents")), "doc_id", "text").select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 @add("postings_positions", r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM t) SELECT CAST(doc_id AS VARCHAR) AS doc_id, term, CAST(list_sort(list(pos))[1] AS INT) AS first_at, CAST(list_sort(list(pos))[1:26][-1] AS INT) AS last_at FROM p GROUP BY doc_id, term")
 def postings_positions(spark, d):
-    made = index.postings(load(spark, d, "documents"), "doc_id", "text")
+    made = index.postings(spread(load(spark, d, "documents")), "doc_id", "text")
     return made.select("doc_id", "term", F.col("positions")[0].alias("first_at"), F.element_at("positions", -1).alias("last_at"))
 
 
 @add("term_stats", f"WITH {TF_CTE} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM tf GROUP BY term")
 def term_stats(spark, d):
-    return index.term_stats(index.postings(load(spark, d, "documents"), "doc_id", "text")).drop("field")
+    return index.term_stats(index.postings(spread(load(spark, d, "documents")), "doc_id", "text")).drop("field")
 
 
 @add("phrase_adjacent", r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) AS r FROM p) SELECT DISTINCT CAST(a.doc_id AS VARCHAR) AS doc_id FROM q a JOIN q b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 2 WHERE a.term = 'of' AND b.term = 'the' AND a.r <= 26 AND b.r <= 26")
 def phrase_adjacent(spark, d):
-    return index.phrase(index.postings(load(spark, d, "documents"), "doc_id", "text"), "of", "the")
+    return index.phrase(index.postings(spread(load(spark, d, "documents")), "doc_id", "text", only=("of", "the")), "of", "the")
 
 
 @add("batch_queries", f"WITH {TF_CTE}, q AS (SELECT * FROM (VALUES (1, 'with'), (1, 'that'), (2, 'und'), (3, 'license'), (3, 'les')) AS q(query_id, term)), s AS (SELECT query_id, doc_id, round(sum({SCORE}), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) GROUP BY 1, 2) SELECT query_id, CAST(doc_id AS VARCHAR) AS doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC) AS rank FROM s) WHERE rank <= 10")
 def batch_queries(spark, d):
-    queries = spark.createDataFrame([(1, "with"), (1, "that"), (2, "und"), (3, "license"), (3, "les")], "query_id int, term string")
-    made = index.postings(load(spark, d, "documents"), "doc_id", "text")
+    asked = [(1, "with"), (1, "that"), (2, "und"), (3, "license"), (3, "les")]
+    queries = spark.createDataFrame(asked, "query_id int, term string")
+    made = index.postings(spread(load(spark, d, "documents")), "doc_id", "text", only=sorted({t for _, t in asked}))
     return engine.batch_search(made, F.broadcast(queries)).select("query_id", "doc_id", "score", "rank")
 
 
@@ -355,7 +356,7 @@ VOCAB = "v AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_
 
 
 def words_of(spark, d):
-    return vocab.vocabulary(load(spark, d, "documents"), F.col("text"))
+    return vocab.vocabulary(spread(load(spark, d, "documents")), F.col("text"))
 
 
 @add("suggest_prefix", f"WITH {VOCAB} SELECT word, freq FROM v WHERE starts_with(word, 'th') ORDER BY freq DESC, word LIMIT 5")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,14 +15,16 @@ from ..schema import IndexSpec
 POSITIONS = 26
 
 
-def postings(docs: DataFrame, key: str, field: str, analyzer: str = "word", positions: int = POSITIONS) -> DataFrame:
+def postings(docs: DataFrame, key: str, field: str, analyzer: str = "word", positions: int = POSITIONS, only: Sequence[str] | None = None) -> DataFrame:
     """doc_id, field, term, tf, positions (the first ones) for each document and term.
 
     Terms of one document stay with it: sorting its terms with their places
-    groups them in the row, so building postings needs no shuffle.
+    groups them in the row, so building postings needs no shuffle. `only` names
+    the terms wanted, if not all are.
     """
     terms = docs.select(F.col(key).cast("string").alias("doc_id"), text.analyze(analyzer, F.col(field)).alias("t"))
-    placed = F.array_sort(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("at"))))
+    placed = F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("at")))
+    placed = F.array_sort(placed if only is None else F.filter(placed, lambda x: x["term"].isin(list(only))))
     at = F.col("found")
     ends = F.filter(F.transform(at, lambda x, i: F.struct(x["term"].alias("term"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(F.col("found"), x["i"] - 1)["term"] != x["term"]))
     rows = terms.select("doc_id", placed.alias("found")).select("doc_id", "found", ends.alias("heads"))

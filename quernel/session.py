@@ -18,3 +18,13 @@ def get_session(cpus: str = "*", **conf: str) -> SparkSession:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of an input with fewer tasks than cores (one small file) over all cores.
+
+    Analysis of texts costs far more than moving them; an input with tasks for
+    every core stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -49,24 +49,29 @@ def running_counts(events: DataFrame, word: str = "event_type") -> DataFrame:
     return events.groupBy(word).count()
 
 
+def _watched(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark on `ts`, which has to be an instant; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, every: str, *by: str, late: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watched(events, late)
     return rows.groupBy(F.window("ts", every), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sliding(events: DataFrame, length: str, every: str, *by: str, late: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watched(events, late)
     return rows.groupBy(F.window("ts", length, every), *by).agg(F.count("*").alias("n"))
 
 
 def sessions(events: DataFrame, gap: str, *by: str, late: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watched(events, late)
     return rows.groupBy(F.session_window("ts", gap), *by).agg(F.count("*").alias("n"))
 
 
 def coalesced_deletes(queue: DataFrame, late: str = "1 minute") -> DataFrame:
     """A delete that is queued again within the watermark counts once."""
-    return queue.withWatermark("ts", late).dropDuplicatesWithinWatermark(["doc_id", "version"])
+    return _watched(queue, late).dropDuplicatesWithinWatermark(["doc_id", "version"])
 
 
 def unexpired(rows: DataFrame, seconds: int) -> DataFrame:
