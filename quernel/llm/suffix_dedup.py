@@ -8,9 +8,11 @@ the words that follow, over all tasks whatever the grams' frequencies, and
 each is compared with its neighbours: words in common to the right (beyond the
 gram) and to the left. Where these make MIN_WORDS or more, the passage is a
 repeat. A suffix that agrees longest with its neighbour to the right may still
-agree longer in all with a farther one; positions that stay short of MIN_WORDS
-in a gram of three or more places are settled exactly, by digests of the
-passages of MIN_WORDS around them.
+agree longer to the left with a farther one; so grams of three or more places
+are settled exactly, by digests of the passages of MIN_WORDS around the gram.
+Places with equal contexts are neighbours and have all their words, so one of
+them stands for all there, and a gram whose places all reach to the end of
+their contexts needs no settling.
 """
 
 from __future__ import annotations
@@ -126,15 +128,25 @@ def _matrix(column: list[bytes]) -> np.ndarray:
 
 
 def _neighbours(ordered: DataFrame) -> DataFrame:
-    """kind 0: places with the best l and r found so far; kinds 1 and 2: a part's first and last row."""
-    kinds = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("right", pa.binary()), ("left", pa.binary())])
+    """kind 0: places with the best l and r found so far; kinds 1 and 2: a part's first and last row.
+
+    A place is full if l and r reach to the end of its contexts. Of neighbours
+    with equal contexts the first is the lead; only a lead keeps its contexts.
+    """
+    kinds = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("full", pa.bool_()), ("lead", pa.bool_()), ("right", pa.binary()), ("left", pa.binary())])
     names = ("key", "id", "pos", "right", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, held_l, held_r = TaskContext.get().partitionId(), None, 0, 0
-        edge = lambda kind, x: pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) | {"kind": kind, "part": part, "l": 0, "r": 0}], schema=kinds)
+        part, held, held_l, held_r, held_lead = TaskContext.get().partitionId(), None, 0, 0, True
+        edge = lambda kind, x: pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) | {"kind": kind, "part": part, "l": 0, "r": 0, "full": False, "lead": False}], schema=kinds)
+
+        def places(rows: list[list], l: np.ndarray, r: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:  # noqa: E741
+            full = (l >= _matrix(rows[4]).any(axis=2).sum(axis=1)) & (r >= _matrix(rows[3]).any(axis=2).sum(axis=1) + GRAM)
+            right, left = ([x if f else b"" for x, f in zip(c, lead, strict=True)] for c in rows[3:])
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([0] * len(l), [part] * len(l), *rows[:3], l, r, full, lead, right, left), kinds, strict=True)], schema=kinds)
+
         for batch in batches:
             c = batch.to_pydict()
             rows = [c[k] for k in names]
@@ -146,24 +158,23 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
                 rows = [[x, *y] for x, y in zip(held, rows, strict=True)]
             n = len(rows[0])
             key, right, left = np.array(rows[0]), _matrix(rows[3]), _matrix(rows[4])
-            l, r = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)  # noqa: E741
+            l, r, lead = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)  # noqa: E741
             if held is not None:
-                l[0], r[0] = held_l, held_r
+                l[0], r[0], lead[0] = held_l, held_r, held_lead
             if n > 1:
                 cr, cl = _common(right[1:], right[:-1]) + GRAM, _common(left[1:], left[:-1])
                 fits = (key[1:] == key[:-1]) & (cr + cl >= MIN_WORDS)
                 cr, cl = np.where(fits, cr, 0), np.where(fits, cl, 0)
                 for s in (slice(1, None), slice(None, -1)):
                     l[s], r[s] = np.maximum(l[s], cl), np.maximum(r[s], cr)
-            if n > 1:
-                zero = [b""] * (n - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([0] * (n - 1), [part] * (n - 1), rows[0][:-1], rows[1][:-1], rows[2][:-1], l[:-1], r[:-1], zero, zero), kinds, strict=True)], schema=kinds)
-            held, held_l, held_r = [x[-1] for x in rows], l[-1], r[-1]
+                lead[1:] = (key[1:] != key[:-1]) | (right[1:] != right[:-1]).any(axis=(1, 2)) | (left[1:] != left[:-1]).any(axis=(1, 2))
+                yield places([x[:-1] for x in rows], l[:-1], r[:-1], lead[:-1])
+            held, held_l, held_r, held_lead = [x[-1] for x in rows], l[-1], r[-1], lead[-1]
         if held is not None:
             yield edge(2, held)
-            yield pa.RecordBatch.from_pylist([dict(zip(names, held, strict=True)) | {"kind": 0, "part": part, "l": int(held_l), "r": int(held_r), "right": b"", "left": b""}], schema=kinds)
+            yield places([[x] for x in held], np.array([held_l]), np.array([held_r]), np.array([held_lead]))
 
-    return ordered.mapInArrow(run, "kind int, part int, key long, id long, pos int, l int, r int, right binary, left binary")
+    return ordered.mapInArrow(run, "kind int, part int, key long, id long, pos int, l int, r int, full boolean, lead boolean, right binary, left binary")
 
 
 def _seams(edges: list) -> list[tuple[int, int, int]]:
@@ -236,15 +247,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     order = ("key", "right", "left", "id", "pos")
     compared = durable(_neighbours(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)), "neighbours")
+    forget(suffixes)
     tidy(spark)
     # two rows a part; their number is that of the tasks, not that of the documents
     seams = _seams(compared.where("kind > 0").collect())
     found = compared.where("kind = 0 and r > 0").select("id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
     found = found.union(spark.createDataFrame(seams, "id long, start int, stop int"))
 
-    unsettled = compared.where("kind = 0 and r = 0").select("key").distinct().join(live.where("uses > 2"), F.col("key") == F.col("l_gram"), "left_semi")
+    unsettled = compared.where("kind = 0 and not full").select("key").distinct().join(live.where("uses > 2"), F.col("key") == F.col("l_gram"), "left_semi")
     unsettled = durable(unsettled.withColumnRenamed("key", "o_key"), "unsettled")
-    around = durable(_windows(suffixes.join(unsettled, F.col("key") == F.col("o_key"), "left_semi")), "windows")
+    around = durable(_windows(compared.where("kind = 0 and lead").join(unsettled, F.col("key") == F.col("o_key"), "left_semi")), "windows")
     place = F.xxhash64("id", "start")
     twice = durable(around.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select(F.col("digest").alias("t_digest")), "twice")
     more = around.join(twice, F.col("digest") == F.col("t_digest"), "left_semi").select("id", "start", (F.col("start") + MIN_WORDS).alias("stop"))

@@ -321,6 +321,21 @@ def test_repeated_passages(awkward, no_ids, nothing, spark):
     assert suffix_dedup.repeated_passages(no_ids).count() == no_ids.count()
 
 
+def test_passages_that_agree_longer_with_a_farther_place(spark):
+    """A and B, C and D share what follows gram G; A and C, not neighbours, share L1 before it."""
+    texts, seed, words, gram = [], 10_000, suffix_dedup._Words(1), suffix_dedup.GRAM
+    while len(texts) < 80:
+        seed += 10
+        l1, l2, l3, g, r1, r2 = (fixtures.prose(seed + k, 25) for k in range(6))
+        if suffix_dedup.anchors(words.hashes(f"{l1} {g}"))[0].tolist() == [gram]:
+            texts += [f"{l1} {g} {r1}", f"{l2} {g} {r1}", f"{l1} {g} {r2}", f"{l3} {g} {r2}"]
+    rows = list(enumerate(texts))
+    want = fixtures.repeats(rows, suffix_dedup.MIN_WORDS)
+    assert all(len(want[i]) == (75 if i % 2 == 0 else 50) for i, _ in rows)
+    for x in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert {w for s in x["spans"] for w in range(s["start"], s["stop"])} == want[x["doc_id"]], x["doc_id"]
+
+
 # --- 10 language identification
 
 
