@@ -28,8 +28,6 @@ MAGIC, EXTRA = b"\x1f\x8b\x08", b"QN"
 FILE_BYTES, SPLIT_BYTES, READ_BYTES = 256 << 20, 4 << 20, 1 << 18
 #: Payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 0
-#: Characters of a header that is still a header.
-HEADER_BYTES = 1 << 16
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -166,7 +164,7 @@ class _Reader:
         except zlib.error:
             return None
         data = b"".join(parts)
-        return (data, here - len(unpack.unused_data)) if data.startswith(b"WARC/1.") and b"\r\n\r\n" in data[:HEADER_BYTES] else None
+        return (data, here - len(unpack.unused_data)) if data.startswith(b"WARC/1.") and b"\r\n\r\n" in data else None
 
     def records(self, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         at = self.next_magic(start, end)

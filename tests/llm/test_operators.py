@@ -259,6 +259,18 @@ def test_warc_without_rows_and_without_ids(spark, tmp_path):
     assert got == [(0, "response", 0), (0, "response", 0), (0, "revisit", 1), (1, "response", 0)]
 
 
+def test_warc_urls_of_any_length(spark, tmp_path):
+    r = random.Random(3)
+    noise = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(700_000))
+    rows = [(1, "http://a/" + "x" * 70_000, "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, "http://c/" + noise, "<p>own</p>"), (4, "http://d/" + "é" * 40_000, None), (5, "http://e", "<p>last</p>")]
+    files = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/u")
+    want = by_sql(warc.OP7_SQL, pages=pa.table({"page_id": [x[0] for x in rows], "html": [x[2] for x in rows]}))
+    for split in (1_000, 4 << 20):
+        found = warc.read(files, split)
+        assert rows_of(warc.digests(found)) == want
+        assert {int(x["headers"]["warc-record-id"][10:-1]): x["headers"]["warc-target-uri"] for x in found.collect()} == {x[0]: x[1] for x in rows}
+
+
 # --- 8 byte-level BPE
 
 
