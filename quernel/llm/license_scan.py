@@ -6,7 +6,9 @@ of well-known licences (whole, cut and with words lost) against paragraphs of
 the corpus and notices of no known family. Probabilities are calibrated by a
 temperature fitted on samples held back; what a notice's family is not sure
 of is `unknown`. A family is reported as confirmed only if the paragraph's
-n-grams also lie in one of its templates.
+n-grams also lie in one of its templates. A paragraph gives each family it
+holds: stretches that agree with a template go to the family that agrees best
+and are classified by themselves, then come windows that hold more.
 """
 
 from __future__ import annotations
@@ -113,6 +115,7 @@ class Model:
         rng = np.random.default_rng(7)
         self.classes = [NONE, UNKNOWN, *sorted(TEMPLATES)]
         self.templates = {k: [grams(words(t)) for t in v] for k, v in TEMPLATES.items()}
+        self.lengths = {k: [len(words(t)) for t in v] for k, v in TEMPLATES.items()}
         plain = [w for x in (*negatives, *PLAIN) for w in windows(words(x))]
         known = set().union(*(g for v in self.templates.values() for g in v), *(grams(words(x)) for x in OTHERS))
         common = {w for x in plain for w in x}
@@ -188,6 +191,67 @@ class Model:
         own = grams(w)
         return any(len(own & t) >= CONFIRM * min(len(own), len(t)) for t in self.templates.get(family, ()))
 
+    def stretches(self, w: list[str]) -> list[tuple[str, float, int, int]]:
+        """Family, probability, start and stop of stretches, apart, that hold most of a template; the best agreement goes first."""
+        own, found = grams(w), []
+        orders = [w, list(zip(w, w[1:], strict=False)), list(zip(w, w[1:], w[2:], strict=False))]
+        for family, templates in self.templates.items():
+            for t, n in zip(templates, self.lengths[family], strict=True):
+                if n > len(w) or len(own & t) < CONFIRM * len(t):
+                    continue
+                share = np.zeros(len(w) - n + 1)
+                for k, order in enumerate(orders):
+                    if n > k:
+                        total = np.cumsum([0, *(g in t for g in order)])
+                        share += total[n - k :] - total[: len(total) - n + k]
+                share /= sum(max(0, n - k) for k in range(len(orders)))
+                found += [(float(share[i]), n, family, int(i)) for i in np.flatnonzero(share >= CONFIRM)]
+        taken, out = np.zeros(len(w), dtype=bool), []
+        for _, n, family, i in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            if not taken[i : i + n].any():
+                name, p = self.classify(w[i : i + n])
+                if name == family:
+                    taken[i : i + n] = True
+                    out.append((family, p, i, i + n))
+        return out
+
+    def notices(self, w: list[str]) -> list[tuple[str, float, bool]]:
+        """Family, probability and confirmation of the notices of a paragraph, each family once.
+
+        Neighbouring windows of a class but none make a run. A window's
+        confirmed class counts if it still holds without the words that went
+        to other families; a run without a confirmed family is `unknown`.
+        """
+        runs: list[list[tuple[int, int, str, float]]] = []
+        for k, part in enumerate(windows(w)):
+            name, p = self.classify(part)
+            if name != NONE:
+                if not runs or runs[-1][-1][0] != (k - 1) * STRIDE:
+                    runs.append([])
+                runs[-1].append((k * STRIDE, k * STRIDE + len(part), name, p))
+        best: dict[tuple[str, bool], float] = {}
+        for run in runs:
+            base = run[0][0]
+            got = self.stretches(w[base : run[-1][1]])
+            owner: list[str | None] = [None] * (run[-1][1] - base)
+            for family, _, a, b in got:
+                owner[a:b] = [family] * (b - a)
+            for a, b, name, p in sorted(run, key=lambda x: -x[3]):
+                if self.confirmed(name, w[a:b]):
+                    free = [x is None or x == name for x in owner[a - base : b - base]]
+                    if all(free) or any(self.classify(x)[0] == name and self.confirmed(name, x) for x in _pieces(w[a:b], free)):
+                        owner[a - base : b - base] = [name if f else x for f, x in zip(free, owner[a - base : b - base], strict=True)]
+                        got.append((name, p, a, b))
+            for name, p, sure in [(x[0], x[1], True) for x in got] or [(UNKNOWN, max(x[3] for x in run), False)]:
+                best[name, sure] = max(p, best.get((name, sure), 0.0))
+        return sorted(((name, p, sure) for (name, sure), p in best.items()), key=lambda x: (not x[2], -x[1], x[0]))
+
+
+def _pieces(w: list[str], free: list[bool]) -> list[list[str]]:
+    """The stretches of `w` whose words are free."""
+    cuts = [-1, *(i for i, f in enumerate(free) if not f), len(w)]
+    return [w[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a + 1]
+
 
 def fit(docs: DataFrame, rows: int = NEGATIVE_DOCS) -> Model:
     """Trains on the templates and on paragraphs of at most `rows` documents, those with the least hashes.
@@ -206,8 +270,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
     Returns doc_id, n_paragraphs, n_licensed (paragraphs with a notice),
     licences (distinct families, sorted; `unknown` among them), notices (array
-    of paragraph, licence, probability, confirmed). A family that no template
-    confirms is given as `unknown`. A null text has no paragraph. Repeated rows
+    of paragraph, licence, probability, confirmed; each family of a paragraph
+    once). A family that no template confirms is given as `unknown`. A null text has no paragraph. Repeated rows
     each get a row; other columns are ignored. No shuffle.
     """
 
@@ -220,20 +284,11 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                     w = words(line)
                     if not w:
                         continue
-                    best = None
                     if not model.signal.isdisjoint(w):
-                        for part in windows(w):
-                            name, p = model.classify(part)
-                            if name != NONE:
-                                sure = model.confirmed(name, part)
-                                one = {"paragraph": n, "licence": name if sure else UNKNOWN, "probability": round(p, 6), "confirmed": sure}
-                                if best is None or (sure, p) > (best["confirmed"], best["probability"]):
-                                    best = one
-                    if best is not None:
-                        found.append(best)
+                        found += [{"paragraph": n, "licence": name, "probability": round(p, 6), "confirmed": sure} for name, p, sure in model.notices(w)]
                     n += 1
                 out["n_paragraphs"].append(n)
-                out["n_licensed"].append(len(found))
+                out["n_licensed"].append(len({x["paragraph"] for x in found}))
                 out["licences"].append(sorted({x["licence"] for x in found}))
                 out["notices"].append(found)
             return {"doc_id": c["doc_id"]} | out

@@ -208,6 +208,26 @@ def test_notices_are_found_and_prose_is_left_alone(spark, sf, nothing, no_ids):
     assert license_scan.scan(docs, license_scan.fit(nothing)).count() == len(cases)
 
 
+def test_every_family_of_a_paragraph_is_given(spark, sf):
+    model = license_scan.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    apache, nc = "Licensed under the Apache License, Version 2.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
+    cases = {
+        1: (f"{apache} {fixtures.prose(4, 4000)} {nc}", ["Apache-2.0", "CC-BY-NC"]),
+        2: (f"{apache} {nc}", ["Apache-2.0", "CC-BY-NC"]),
+        3: (f"SPDX-License-Identifier: MIT. {apache} Text is available under the Creative Commons Attribution-ShareAlike License.", ["Apache-2.0", "CC-BY-SA", "MIT"]),
+        4: (nc, ["CC-BY-NC"]),
+        5: (license_scan.TEMPLATES["LGPL"][0] + " " + fixtures.prose(6, 50) + " " + license_scan.TEMPLATES["LGPL"][0], ["LGPL"]),
+        6: (f"{apache} {nc}\n{nc}", ["Apache-2.0", "CC-BY-NC"]),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(docs, model).collect()}
+    assert {k: r["licences"] for k, r in got.items()} == {k: v for k, (_, v) in cases.items()}
+    assert [got[k]["n_licensed"] for k in sorted(got)] == [1, 1, 1, 1, 1, 2]
+    assert sorted((x["paragraph"], x["licence"]) for x in got[6]["notices"]) == [(0, "Apache-2.0"), (0, "CC-BY-NC"), (1, "CC-BY-NC")]
+    for (a, one), (b, other) in zip(license_scan.TEMPLATES.items(), [*license_scan.TEMPLATES.items()][1:], strict=False):
+        assert {x for x, _, _ in model.notices(license_scan.words(f"{one[0]} {other[0]}"))} == {a, b}
+
+
 # --- 6 mixing
 
 
