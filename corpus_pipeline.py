@@ -35,13 +35,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 or more, the document with the least doc_id.
+    """Of each group linked by five-word shingles at 0.8 or more, the row with the least doc_id.
 
-    Rows without doc_id stay: nothing names them.
+    A row is its doc_id and text, named by a hash of both, so rows of one
+    doc_id with different texts are apart. One without doc_id stays only where
+    its group has no other.
     """
-    made = minhash_dedup.near_duplicates(docs, words=5, num=80, den=100)
-    gone = durable(made.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "decisions")
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    made = minhash_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), words=5, num=80, den=100)
+    made = durable(made.select(F.col("doc_id").alias("__id"), "component_id").distinct(), "groups")
+    ids = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    stay = made.join(ids, F.col("__id") == F.col("__row")).groupBy("component_id").agg(F.min_by("__row", order).alias("__stay"))
+    gone = durable(made.join(stay.select("__stay"), F.col("__id") == F.col("__stay"), "left_anti").select("__id"), "decisions")
+    return rows.join(gone, F.col("__row") == F.col("__id"), "left_anti").drop("__row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,23 @@ def test_the_pipeline_equals_the_plain_version(spark, tmp_path):
     assert all(len(r["ids"]) == r["n_tokens"] for r in got)
 
 
+def test_near_copies_are_rows_of_their_own(spark):
+    """Rows of one doc_id with different texts, near copies without doc_id, and a link through such a row."""
+    base, other, third = (fixtures.prose(k, 200) for k in (41, 42, 43))
+    swap = lambda text, *at: " ".join("changed" if i in at else w for i, w in enumerate(text.split()))
+    middle = swap(third, 20, 60, 80)
+    rows = [(1, base), (7, swap(base, 50)), (7, fixtures.prose(44, 200)), (None, other), (None, swap(other, 50)), (4, third), (None, middle), (5, swap(middle, 100, 140, 170))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    assert all(len(a & b) * 100 < 80 * len(a | b) for a, b in [(fixtures.shingles(third, 5), fixtures.shingles(rows[7][1], 5))])
+    group = fixtures.near_components([(k, t) for k, (_, t) in enumerate(rows)], 5, 80, 100)
+    assert [group[k] for k in range(len(rows))] == [0, 0, 2, 3, 3, 5, 5, 5]
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sum(i is None for i, _ in left) == 1 and {t for i, t in left if i is None} < {t for i, t in rows[3:5]}
+    assert sorted(x for x in left if x[0] is not None) == sorted([rows[0], rows[2], rows[5]])
+
+
 def test_stages_take_awkward_and_empty_tables(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "byte_bpe"]
     for rows in (fixtures.doc_rows(True), []):
