@@ -225,7 +225,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     apart), one row per input row. A text of at least MIN_WORDS words with an
     exact copy is one span; of its copies one stands for all in the search. A
     null or short text has no span. Rows of one doc_id share their spans; a row
-    without id has spans only as a copy. Other columns are ignored.
+    without id has spans only as a copy, and is no partner: a passage that a
+    text shares only with such a row is not found. Other columns are ignored.
     """
     spark = docs.sparkSession
     made = durable(_survey(docs), "survey")
