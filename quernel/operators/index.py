@@ -56,7 +56,11 @@ def term_stats(made: DataFrame) -> DataFrame:
 
 
 def phrase(made: DataFrame, first: str, second: str, gap: int = 2) -> DataFrame:
-    """Documents in which `second` follows `first` within `gap` words: each document's two postings meet in one aggregate."""
+    """Documents in which `second` follows `first` within `gap` words: each document's two postings meet in one aggregate.
+
+    Only places that the postings kept count (POSITIONS by default), so what
+    follows a term's last kept place is missed; `postings` takes a larger number.
+    """
     two = made.where(F.col("term").isin(first, second)).groupBy("doc_id").agg(
         F.flatten(F.collect_list(F.when(F.col("term") == first, F.col("positions")))).alias("a"), F.flatten(F.collect_list(F.when(F.col("term") == second, F.col("positions")))).alias("b")
     )
