@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, forget
+from ._shared import anew, durable, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -13,7 +13,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
     least = near.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("low"))
-    joined = near.join(least.select("m_u", F.least("m_u", "low").alias("m")), F.col("u") == F.col("m_u"))
+    joined = near.join(least.select(anew("m_u").alias("m_u"), F.least("m_u", "low").alias("m")), F.col("u") == F.col("m_u"))
     if large:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("m_u").alias("u"), F.col("low").alias("v"))).distinct()
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        new = durable(_star(durable(_star(now, True), "large"), False), "small")
+        new = durable(_star(_star(now, True), False), "star")
         forget(now)
         now = new
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -11,16 +11,18 @@ keys of which every such pair shares one. Links are confirmed on full sets.
 Texts with equal sets are one class with one representative. A bucket (the
 texts that share a key) never is expanded into pairs: its members are first
 compared with its most connected member; once links are joined to components,
-only pairs from different components of a bucket are left to compare. A sketch
-with the parity of a set's hashes by bit bounds the size of a symmetric
-difference from below, common parts cancelling out, so pairs that it shows too
-far apart are left inside the join and no link is; a pair that shares several
-keys counts at the first. A large group of near copies gives about as many rows
-as it has members.
+only pairs from different components of a bucket are left to compare, and of
+these only pairs of sizes that can be similar meet. A sketch with the parity of
+a set's hashes by bit bounds the size of a symmetric difference from below,
+common parts cancelling out, so pairs that it shows too far apart are left
+inside the join and no link is; a pair that shares several keys counts at the
+first. A large group of near copies gives about as many rows as it has members.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import durable, map_rows, prepare, table
+from ._shared import anew, durable, held, map_rows, prepare, table
 from .components import components
 
 LANES, WIDTH = 40, 12
@@ -36,7 +38,9 @@ LANES, WIDTH = 40, 12
 LEADERS = 2
 #: Bits of a parity sketch.
 BITS = 1024
-CACHE_WORDS, CACHE_SETS = 200_000, 64
+#: Lanes of a chunk at most, so that a chunk is one long; members that one leader's set is sent for.
+CHUNK, MEMBERS = 5, 256
+CACHE_WORDS = 200_000
 _MASK = (1 << 64) - 1
 _random = np.random.default_rng(20240229)
 SEEDS = _random.integers(1, 1 << 63, LANES, dtype=np.uint64)
@@ -100,8 +104,8 @@ def radius(num: int, den: int, miss: float = 1e-4) -> int:
 
 
 def chunks(r: int) -> list[np.ndarray]:
-    """Lanes in as few chunks as leave one of them at most one error in `r`."""
-    return np.array_split(np.arange(LANES), (r + 2) // 2)
+    """Lanes in as few chunks of CHUNK lanes or fewer as leave one of them at most one error in `r`."""
+    return np.array_split(np.arange(LANES), max((r + 2) // 2, -(-LANES // CHUNK)))
 
 
 def slots(r: int) -> list[tuple[int, int]]:
@@ -109,13 +113,10 @@ def slots(r: int) -> list[tuple[int, int]]:
     return [(c, skip) for c, chunk in enumerate(chunks(r)) for skip in range(len(chunk))]
 
 
-def keys(packed: np.ndarray, r: int) -> np.ndarray:
-    """Of each row of packed chunks, a key for each chunk and each lane of it left out."""
-    lane, out = (1 << WIDTH) - 1, []
-    for c, skip in slots(r):
-        rest = packed[:, c] & np.uint64(_MASK ^ (lane << (WIDTH * skip)))
-        out.append(_mixed(rest ^ _mixed(np.full(len(packed), (c << 8 | skip) + 1, dtype=np.uint64) * STEP)))
-    return np.stack(out, axis=1)
+def keys(r: int) -> Column:
+    """For each chunk of `sig` and each lane of it left out, a key; a key's place is its slot."""
+    lane, signed = (1 << WIDTH) - 1, lambda x: x - (1 << 64) if x >> 63 else x
+    return F.array(*[F.xxhash64(F.lit(k), F.col("sig")[c].bitwiseAND(F.lit(signed(_MASK ^ (lane << (WIDTH * skip)))))) for k, (c, skip) in enumerate(slots(r))])
 
 
 def errors(c: int) -> Column:
@@ -183,49 +184,43 @@ def signatures(docs: DataFrame, words: int, r: int) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, bits array<long>")
 
 
-def index(reps: DataFrame, r: int) -> DataFrame:
-    """key, id, slot (which of the keys it is): the multi-index of representatives."""
-    prepare(reps.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if len(ids):
-                made = keys(batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1), r)
-                slot = np.tile(np.arange(made.shape[1], dtype=np.int32), len(ids))
-                yield pa.RecordBatch.from_pydict({"key": made.view(np.int64).ravel(), "id": np.repeat(ids, made.shape[1]), "slot": slot})
-
-    return reps.select("id", "sig").mapInArrow(run, "key long, id long, slot int")
+def band(n: Column, num: int, den: int) -> Column:
+    """Sets of similarity num / den or more lie in the same band of sizes or in neighbouring ones."""
+    return F.floor(F.log(n) / (math.log(den / num) * (1 + 1e-9))).cast("int") if num < den else n.cast("int")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """u, v of the pairs whose full sets have den * intersection >= num * union."""
-    one = lambda k: texts.select(F.col("id").alias(f"{k}_id"), F.col("text").alias(f"{k}_text"))
-    both = pairs.select("u", "v").join(one("u"), F.col("u") == F.col("u_id")).join(one("v"), F.col("v") == F.col("v_id"))
-
-    def make():
-        sets, recent = Shingler(words), {}
-
-        def of(key: int, text: str) -> np.ndarray:
-            if key not in recent or recent[key][0] != text:
-                if len(recent) >= CACHE_SETS:
-                    recent.clear()
-                recent[key] = (text, sets.of(text))
-            return recent[key][1]
+    """u, v, linked: whether the full sets have den * intersection >= num * union.
 
-        def work(c):
-            u, v = [], []
-            for a, x, b, y in zip(c["u"], c["u_text"], c["v"], c["v_text"], strict=True):
-                s, t = of(a, x), of(b, y)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if common and den * common >= num * (len(s) + len(t) - common):
-                    u.append(a)
-                    v.append(b)
-            return {"u": u, "v": v}
-
-        return work
+    A set `u` of many pairs is made once for about MEMBERS of them: its pairs
+    are dealt out by a salt, and each part has the text of `u` first.
+    """
+    prepare(pairs.sparkSession)
+    many = pairs.groupBy(F.col("u").alias("m_u")).agg(F.count("*").alias("m_n")).where(F.col("m_n") > MEMBERS).select(anew("m_u").alias("m_u"), "m_n")
+    salt = F.coalesce(F.pmod(F.xxhash64("v"), F.ceil(F.col("m_n") / MEMBERS)), F.lit(0)).cast("long")
+    dealt = pairs.join(many, F.col("u") == F.col("m_u"), "left").select("u", salt.alias("salt"), "v")
+    own = texts.select(F.col("id").alias("t_id"), "text")
+    members = dealt.join(own, F.col("v") == F.col("t_id")).select("u", "salt", "v", "text")
+    leaders = dealt.select("u", "salt").distinct().join(own, F.col("u") == F.col("t_id")).select("u", "salt", F.lit(None).cast("long").alias("v"), "text")
+    rows = members.union(leaders).repartition("u", "salt").sortWithinPartitions("u", "salt", F.asc_nulls_first("v"))
 
-    return map_rows(both.select("u", "u_text", "v", "v_text"), make, "u long, v long")
+    def run(batches):
+        sets, at, led = Shingler(words), None, {}
+        for batch in batches:
+            c, out = batch.to_pydict(), ([], [], [])
+            for u, part, v, text in zip(c["u"], c["salt"], c["v"], c["text"], strict=True):
+                if (u, part) != at:
+                    at, led = (u, part), {}
+                s = sets.of(text)
+                if v is None:
+                    led[s.tobytes()] = s  # more than one if rows of one id differ
+                    continue
+                common = [(len(np.intersect1d(s, t, assume_unique=True)), len(t)) for t in led.values()]
+                for k, x in zip(out, (u, v, any(n and den * n >= num * (len(s) + m - n) for n, m in common)), strict=True):
+                    k.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["u", "v", "linked"])
+
+    return rows.mapInArrow(run, "u long, v long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -238,56 +233,70 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     A null doc_id belongs to the component of texts with its very set, whose
     least id it reports; it is kept only if there is none. Repeated rows each
     get a row. Other columns are ignored.
+
+    What is costly (signatures, texts, links) is written to the shared folder;
+    buckets are held on the executors' disks and computed again where lost.
     """
     r = radius(num, den)
     made = durable(signatures(docs, words, r), "signatures")
-    classes = made.where("n_shingles > 0").groupBy(F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = durable(classes.where("copies > 1").select("c1", "c2", "rep"), "classes")
-    named = made.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left").select("doc_id", "n_shingles", "sig", "bits", F.coalesce("rep", "doc_id").alias("id"))
-    named = durable(named, "named")
-    reps = named.where("n_shingles > 0 and id = doc_id").select("id", "n_shingles", "sig", "bits")
-
-    found = durable(index(reps, r), "index")
-    live = durable(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("l_key"), "n"), "live")
-    found = durable(found.join(live, F.col("key") == F.col("l_key")).select("key", "id", "slot", "n"), "buckets")
+    n_sig, n_bits = len(chunks(r)), BITS // 64
+    flat = lambda name, n: [F.first(F.col(name)[i]).alias(f"{name}{i}") for i in range(n)]
+    packed = lambda name, n: F.array(*[F.col(f"{name}{i}") for i in range(n)]).alias(name)
+    # the rows of a class have one set, so any one's signature is all of theirs
+    reps = made.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), *flat("sig", n_sig), *flat("bits", n_bits))
+    reps = durable(reps.where("id is not null").select("d1", "d2", "id", "copies", "n_shingles", packed("sig", n_sig), packed("bits", n_bits)), "classes")
+
+    found = reps.select("id", F.posexplode(keys(r)).alias("slot", "key"))
+    live = held(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(anew("key").alias("l_key"), "n"))
+    buckets = held(found.join(live, F.col("key") == F.col("l_key")).select(anew("key").alias("key"), "id", "slot", "n"))
     # the most connected member of a bucket leads it
-    ties = found.groupBy("id").agg(F.sum("n").alias("ties"))
-    leads = found.select("key", "id").join(ties.withColumnRenamed("id", "t_id"), F.col("id") == F.col("t_id")).groupBy("key").agg(F.max_by("id", F.struct("ties", "id")).alias("leader"))
-    leads = durable(leads.select(F.col("key").alias("k_key"), "leader"), "leaders")
-    led = durable(found.join(leads, F.col("key") == F.col("k_key")).select("key", "id", "slot", "leader"), "led")
+    ties = buckets.groupBy(F.col("id").alias("t_id")).agg(F.sum("n").alias("ties"))
+    leads = buckets.select("key", "id").join(ties, F.col("id") == F.col("t_id")).groupBy(F.col("key").alias("k_key")).agg(F.max(F.struct("ties", "id")).alias("top"))
+    leads = held(leads.select(anew("k_key").alias("k_key"), F.col("top.id").alias("leader")))
+    led = held(buckets.join(leads, F.col("key") == F.col("k_key")).select("key", "id", "slot", "leader"))
     near = led.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("shared"))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "leader"))).where(F.col("r") <= LEADERS)
-    first = durable(best.select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct(), "pairs")
+    first = best.select(F.col("leader").alias("u"), F.col("id").alias("v"))
 
-    wanted = led.select("id").distinct().withColumnRenamed("id", "w_id")
+    wanted = buckets.select(F.col("id").alias("w_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("w_id"), "left_semi")
     texts = durable(texts, "texts")
     links = durable(confirm(first, texts, words, num, den), "links")
-    group = durable(components(links), "groups")
+    group = components(links.where("linked").select("u", "v"))
 
     # what is left: pairs of one bucket, in different components and within the radius
     of = lambda c, k: group.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(k))
     marked = led.join(of("id", "ci"), F.col("id") == F.col("ci_node"), "left").join(of("leader", "cl"), F.col("leader") == F.col("cl_node"), "left")
-    marked = durable(marked.select("key", "id", "slot", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "leader").alias("cl")), "marked")
-    odd = marked.where("ci <> cl")
-    mixed = durable(odd.select(F.col("key").alias("m_key")).distinct(), "mixed")
-    slim = reps.withColumnRenamed("id", "s_id")
-    rows = durable(marked.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(slim, F.col("id") == F.col("s_id")).select("key", "id", "slot", "ci", (F.col("ci") != F.col("cl")).alias("odd"), "n_shingles", "sig", "bits"), "open")
-    a = rows.where("odd").select(F.col("key").alias("a_key"), F.col("id").alias("a"), F.col("slot").alias("a_slot"), F.col("ci").alias("a_c"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"), F.col("bits").alias("a_bits"))
-    b = rows.select(F.col("key").alias("b_key"), F.col("id").alias("b"), F.col("ci").alias("b_c"), F.col("odd").alias("b_odd"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"), F.col("bits").alias("b_bits"))
-    close = (F.col("a_key") == F.col("b_key")) & (F.col("a_c") != F.col("b_c")) & (~F.col("b_odd") | (F.col("a") < F.col("b")))
+    marked = held(marked.select("key", "id", "slot", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "leader").alias("cl")))
+    mixed = marked.where("ci <> cl").select("key").distinct().select(anew("key").alias("m_key"))
+    slim = reps.select(F.col("id").alias("s_id"), "n_shingles", "sig", "bits")
+    rows = marked.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(slim, F.col("id") == F.col("s_id"))
+    rows = held(rows.select("key", "id", "slot", "ci", (F.col("ci") != F.col("cl")).alias("odd"), "n_shingles", band(F.col("n_shingles"), num, den).alias("band"), "sig", "bits"))
+    around = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
+    a = rows.where("odd").select(F.col("key").alias("a_key"), around.alias("a_band"), F.col("id").alias("a"), F.col("slot").alias("a_slot"), F.col("ci").alias("a_c"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"), F.col("bits").alias("a_bits"))
+    b = rows.select(F.col("key").alias("b_key"), F.col("band").alias("b_band"), F.col("id").alias("b"), F.col("ci").alias("b_c"), F.col("odd").alias("b_odd"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"), F.col("bits").alias("b_bits"))
+    close = (F.col("a_key") == F.col("b_key")) & (F.col("a_band") == F.col("b_band")) & (F.col("a_c") != F.col("b_c")) & (~F.col("b_odd") | (F.col("a") < F.col("b")))
     apart = (F.col("a_n") + F.col("b_n")) * (den - num)  # a link has at most this many elements apart, times num + den
     close = close & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
     for longs in (4, BITS // 64):  # the first few settle most
         close = close & (differ("a_bits", "b_bits", longs) * (num + den) <= apart)
     close = close & first_shared(r) & (distance(r) <= r)
     rest = a.join(b, close).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    rest = durable(rest.join(first.select(F.col("u").alias("f_u"), F.col("v").alias("f_v")), (F.col("u") == F.col("f_u")) & (F.col("v") == F.col("f_v")), "left_anti"), "rest")
-    more = durable(confirm(rest, texts, words, num, den), "more")
-    joined = durable(components(links.union(more)), "components").withColumnRenamed("node", "j_node")
-    return named.join(joined, F.col("id") == F.col("j_node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce("component", "id").eqNullSafe(F.col("doc_id")).alias("kept")
-    )
+    done = links.select(F.least("u", "v").alias("f_u"), F.greatest("u", "v").alias("f_v"))
+    more = confirm(rest.join(done, (F.col("u") == F.col("f_u")) & (F.col("v") == F.col("f_v")), "left_anti"), texts, words, num, den)
+    more = durable(more.where("linked").select("u", "v"), "more")
+
+    # links between components join them; the smaller graph is that of the components
+    between = more.join(of("u", "cu"), F.col("u") == F.col("cu_node"), "left").join(of("v", "cv"), F.col("v") == F.col("cv_node"), "left")
+    over = components(between.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    named = reps.select("d1", "d2", "id", "copies").join(of("id", "ci"), F.col("id") == F.col("ci_node"), "left").select("d1", "d2", "id", "copies", F.coalesce("ci", "id").alias("ci"))
+    named = named.join(over.select(F.col("node").alias("o_node"), "component"), F.col("ci") == F.col("o_node"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "id", "copies", F.coalesce("component", "ci").alias("component"))
+    named = durable(named.where("copies > 1 or component <> id").select("c1", "c2", "component"), "named")
+    for x in (rows, marked, led, leads, buckets, live):
+        x.unpersist()
+    component = F.coalesce("component", "doc_id")
+    same = (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") > 0)
+    return made.select("doc_id", "n_shingles", "d1", "d2").join(named, same, "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
