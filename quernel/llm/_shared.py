@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,14 +63,6 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Keeps `df` on the executors' disks until `unpersist`; parts that are lost are computed again.
-
-    For what is used a few times and cheap to make from durable tables.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def anew(c: str) -> Column:
     """A long column as it is, but placed nobody knows where.
 

@@ -20,9 +20,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node with an edge.
+    """node, component (its least node) of every node that is not the least of its component.
 
-    `edges` has long columns u and v; loops and nulls are ignored. The work is
+    A node that is not there is its own component. `edges` has long columns u and v; loops and nulls are ignored. The work is
     in tables: only a count and a checksum of each round reach the driver.
     Rounds grow with the logarithm of the longest path.
     """
@@ -36,5 +36,4 @@ def components(edges: DataFrame) -> DataFrame:
         new = durable(_star(_star(now, True), False), "star")
         forget(now)
         now = new
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

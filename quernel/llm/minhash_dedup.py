@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import anew, durable, held, map_rows, prepare, table
+from ._shared import anew, durable, forget, map_rows, prepare, table, tidy
 from .components import components
 
 LANES, WIDTH = 40, 12
@@ -234,10 +234,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     least id it reports; it is kept only if there is none. Repeated rows each
     get a row. Other columns are ignored.
 
-    What is costly (signatures, texts, links) is written to the shared folder;
-    buckets are held on the executors' disks and computed again where lost.
+    Intermediate tables go to the shared folder, so a lost executor costs what
+    it was doing; but for two they are removed before the result is used.
     """
-    r = radius(num, den)
+    spark, r = docs.sparkSession, radius(num, den)
     made = durable(signatures(docs, words, r), "signatures")
     n_sig, n_bits = len(chunks(r)), BITS // 64
     flat = lambda name, n: [F.first(F.col(name)[i]).alias(f"{name}{i}") for i in range(n)]
@@ -247,31 +247,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     reps = durable(reps.where("id is not null").select("d1", "d2", "id", "copies", "n_shingles", packed("sig", n_sig), packed("bits", n_bits)), "classes")
 
     found = reps.select("id", F.posexplode(keys(r)).alias("slot", "key"))
-    live = held(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(anew("key").alias("l_key"), "n"))
-    buckets = held(found.join(live, F.col("key") == F.col("l_key")).select(anew("key").alias("key"), "id", "slot", "n"))
+    live = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(anew("key").alias("l_key"), "n")
+    buckets = durable(found.join(live, F.col("key") == F.col("l_key")).select("key", "id", "slot", "n"), "buckets")
     # the most connected member of a bucket leads it
     ties = buckets.groupBy(F.col("id").alias("t_id")).agg(F.sum("n").alias("ties"))
-    leads = buckets.select("key", "id").join(ties, F.col("id") == F.col("t_id")).groupBy(F.col("key").alias("k_key")).agg(F.max(F.struct("ties", "id")).alias("top"))
-    leads = held(leads.select(anew("k_key").alias("k_key"), F.col("top.id").alias("leader")))
-    led = held(buckets.join(leads, F.col("key") == F.col("k_key")).select("key", "id", "slot", "leader"))
+    leads = buckets.select("key", "id").join(ties, F.col("id") == F.col("t_id")).groupBy("key").agg(F.max(F.struct("ties", "id")).alias("top"))
+    leads = leads.select(anew("key").alias("k_key"), F.col("top.id").alias("leader"))
+    led = durable(buckets.join(leads, F.col("key") == F.col("k_key")).select("key", "id", "slot", "leader"), "led")
+    forget(buckets)
     near = led.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("shared"))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "leader"))).where(F.col("r") <= LEADERS)
     first = best.select(F.col("leader").alias("u"), F.col("id").alias("v"))
 
-    wanted = buckets.select(F.col("id").alias("w_id")).distinct()
+    wanted = led.select(F.col("id").alias("w_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("w_id"), "left_semi")
     texts = durable(texts, "texts")
+    tidy(spark)
     links = durable(confirm(first, texts, words, num, den), "links")
+    tidy(spark)
     group = components(links.where("linked").select("u", "v"))
+    tidy(spark)
 
     # what is left: pairs of one bucket, in different components and within the radius
     of = lambda c, k: group.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(k))
     marked = led.join(of("id", "ci"), F.col("id") == F.col("ci_node"), "left").join(of("leader", "cl"), F.col("leader") == F.col("cl_node"), "left")
-    marked = held(marked.select("key", "id", "slot", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "leader").alias("cl")))
+    marked = marked.select("key", "id", "slot", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "leader").alias("cl"))
     mixed = marked.where("ci <> cl").select("key").distinct().select(anew("key").alias("m_key"))
     slim = reps.select(F.col("id").alias("s_id"), "n_shingles", "sig", "bits")
     rows = marked.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(slim, F.col("id") == F.col("s_id"))
-    rows = held(rows.select("key", "id", "slot", "ci", (F.col("ci") != F.col("cl")).alias("odd"), "n_shingles", band(F.col("n_shingles"), num, den).alias("band"), "sig", "bits"))
+    rows = durable(rows.select("key", "id", "slot", "ci", (F.col("ci") != F.col("cl")).alias("odd"), "n_shingles", band(F.col("n_shingles"), num, den).alias("band"), "sig", "bits"), "open")
     around = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
     a = rows.where("odd").select(F.col("key").alias("a_key"), around.alias("a_band"), F.col("id").alias("a"), F.col("slot").alias("a_slot"), F.col("ci").alias("a_c"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"), F.col("bits").alias("a_bits"))
     b = rows.select(F.col("key").alias("b_key"), F.col("band").alias("b_band"), F.col("id").alias("b"), F.col("ci").alias("b_c"), F.col("odd").alias("b_odd"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"), F.col("bits").alias("b_bits"))
@@ -285,6 +289,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     done = links.select(F.least("u", "v").alias("f_u"), F.greatest("u", "v").alias("f_v"))
     more = confirm(rest.join(done, (F.col("u") == F.col("f_u")) & (F.col("v") == F.col("f_v")), "left_anti"), texts, words, num, den)
     more = durable(more.where("linked").select("u", "v"), "more")
+    for x in (led, texts, links, rows):
+        forget(x)
+    tidy(spark)
 
     # links between components join them; the smaller graph is that of the components
     between = more.join(of("u", "cu"), F.col("u") == F.col("cu_node"), "left").join(of("v", "cv"), F.col("v") == F.col("cv_node"), "left")
@@ -292,8 +299,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     named = reps.select("d1", "d2", "id", "copies").join(of("id", "ci"), F.col("id") == F.col("ci_node"), "left").select("d1", "d2", "id", "copies", F.coalesce("ci", "id").alias("ci"))
     named = named.join(over.select(F.col("node").alias("o_node"), "component"), F.col("ci") == F.col("o_node"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "id", "copies", F.coalesce("component", "ci").alias("component"))
     named = durable(named.where("copies > 1 or component <> id").select("c1", "c2", "component"), "named")
-    for x in (rows, marked, led, leads, buckets, live):
-        x.unpersist()
+    for x in (reps, group, more, over):
+        forget(x)
+    tidy(spark)
     component = F.coalesce("component", "doc_id")
     same = (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") > 0)
     return made.select("doc_id", "n_shingles", "d1", "d2").join(named, same, "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
