@@ -26,6 +26,8 @@ from ._shared import durable, map_rows, new_path, prepare, table
 MAGIC, EXTRA = b"\x1f\x8b\x08", b"QN"
 #: Bytes of an archive file after which a writing task starts another, of a reader's range, and of one read.
 FILE_BYTES, SPLIT_BYTES, READ_BYTES = 256 << 20, 4 << 20, 1 << 18
+#: Reading tasks for each core at least, where there are so many ranges, and ranges of a task at most.
+WAVES, RANGES = 8, 64
 #: Payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 0
 
@@ -73,7 +75,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     Rows with equal payloads of at least REVISIT_BYTES: that with the smallest
     page_id is the response, others revisit it (rows that repeat that id are
     responses too; null ids revisit unless all are null). A null html is an
-    empty payload, a null url an empty one. A file appears under its name only
+    empty payload, a null url an empty one. Other columns are ignored. A file appears under its name only
     when whole and its name depends on the task's part alone, so a task that
     runs again replaces what it wrote.
     """
@@ -188,11 +190,16 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
     Returns path, offset, headers (map) and payload (binary). A range without a
     record start gives nothing; what is not a whole record is passed over.
+    Ranges are rows of a few bytes, so they are dealt over a number of tasks
+    that follows from theirs: a task each, up to WAVES for each core, and at
+    most RANGES of them in a task. Other columns are ignored.
     """
-    prepare(files.sparkSession)
+    spark = files.sparkSession
+    prepare(spark)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     ranges = files.where("bytes > 0").select("path", "bytes", starts.alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    n = files.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(int(max(min(n, WAVES * spark.sparkContext.defaultParallelism), n // RANGES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
