@@ -24,24 +24,32 @@ PROFILE = 400
 #: Labelled rows that profiles are fitted on at most: those with the least hashes.
 TRAIN_ROWS = 8000
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")  # and numerals such as fractions, which `letters` takes out
 _BLANK, _ONE, _TWO = np.int64(32), np.int64(21), np.int64(42)
 
 
+def letters(text: str) -> str:
+    """The words of a text in lower case, runs of letters (as `str.isalpha` has them), one blank apart."""
+    found = "".join(words := _WORDS.findall(text.lower()))
+    if found and not found.isalpha():
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return " ".join(words)
+
+
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a text, by code point, and their counts.
 
     An n-gram is one number, its characters 21 bits each with the first on
     top, so that numbers sort as the strings do.
     """
-    words = _WORDS.findall(text.lower())
+    words = letters(text)
     if not words:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    first, letters = c << _TWO, c != _BLANK
-    two = (first[:-1] | c[1:] << _ONE)[letters[:-1] | letters[1:]]
-    three = (first[:-2] | c[1:-1] << _ONE | c[2:])[letters[1:-1]]  # a blank is never in the middle
-    return np.unique(np.concatenate([first[letters], two, three]), return_counts=True)
+    c = np.frombuffer(f" {words} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    first, inside = c << _TWO, c != _BLANK
+    two = (first[:-1] | c[1:] << _ONE)[inside[:-1] | inside[1:]]
+    three = (first[:-2] | c[1:-1] << _ONE | c[2:])[inside[1:-1]]  # a blank is never in the middle
+    return np.unique(np.concatenate([first[inside], two, three]), return_counts=True)
 
 
 def top(text: str) -> np.ndarray:
@@ -57,11 +65,12 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, list[int]]]:
     """Profiles from text and lang of documents that are not held out.
 
-    Of rows with text and lang, at most about `rows` are read: those whose
-    doc_id has the least hash. Profiles are a few hundred numbers a language,
-    so they are sent to the driver.
+    Of rows with text and lang, at most `rows` are read: those whose doc_id,
+    text and lang have the least hash; a repeated row counts once. Profiles are
+    a few hundred numbers a language, so they are sent to the driver; languages
+    are those of these rows at most.
     """
-    one = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    one = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.xxhash64(F.col("doc_id").cast("string"), "text", "lang").alias("h"))
     one = one.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     least = one.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if least is None:
@@ -82,7 +91,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, list[int]]]:
 
         return work
 
-    counts = map_rows(one.where(F.col("h") <= least).select("text", "lang"), make, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_rows(one.where(F.col("h") <= least).dropDuplicates(["h"]).select("text", "lang"), make, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked = counts.withColumn("r", rank).where(F.col("r") <= PROFILE).collect()
     by: dict[str, list[tuple[int, int]]] = defaultdict(list)

@@ -150,11 +150,17 @@ def learn(x: dict[str, np.ndarray], poor: np.ndarray, back: np.ndarray) -> list[
 
 
 def fit(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Rule]:
-    """Rules from at most `rows` labelled documents, those with the least hashes; none without labels."""
+    """Rules from at most `rows` labels, those with the least hashes; none without labels.
+
+    A label is a doc_id and a quality; one that repeats counts once, and two
+    qualities of a document are two labels. Of documents that share a doc_id
+    the one with the least features stands for it. Other columns are ignored.
+    """
     wanted = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    wanted = wanted.orderBy("h", "label_id", "quality").limit(rows)
+    wanted = wanted.distinct().orderBy("h", "label_id", "quality").limit(rows)
     made = features()
-    got = stats.join(wanted, F.col("doc_id") == F.col("label_id")).select("h", "label_id", (F.col("quality") == 0).alias("poor"), *[c.alias(k) for k, c in made.items()]).toPandas()
+    got = stats.join(wanted, F.col("doc_id") == F.col("label_id")).groupBy("h", "label_id", (F.col("quality") == 0).alias("poor")).agg(F.min(F.struct(*[c.alias(k) for k, c in made.items()])).alias("x"))
+    got = got.select("h", "label_id", "poor", *[F.col("x")[k].alias(k) for k in made]).toPandas()
     got = got.sort_values(["h", "label_id", "poor", *made]).reset_index(drop=True)
     return learn({k: got[k].to_numpy() for k in made}, got["poor"].to_numpy(dtype=bool), np.arange(len(got)) % 3 == 2) if len(got) else []
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,3 +92,66 @@ def repeats(rows: list[tuple[int, str | None]], least: int) -> dict[int, set[int
             for key, i in places:
                 out[key] |= set(range(i, i + least))
     return out
+
+
+def near_components_by_gram(rows: list[tuple[int, str | None]], n: int, num: int, den: int) -> dict[int, int]:
+    """As near_components, over pairs that share a shingle only (others have no link)."""
+    sets = {i: shingles(t, n) for i, t in rows}
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            where[g].append(i)
+    common: Counter = Counter()
+    for found in where.values():
+        for k, i in enumerate(found):
+            for j in found[:k]:
+                common[i, j] += 1
+    up = {i: i for i in sets}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (i, j), both in common.items():
+        if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+            x, y = sorted((find(i), find(j)))
+            up[y] = x
+    return {i: find(i) for i in up}
+
+
+def plain_grams(text: str | None) -> Counter:
+    """n-grams of 1 to 3 characters of words of letters, a blank on either side of a word; a lone blank is none."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    out: Counter = Counter()
+    for w in words:
+        padded = f" {w} "
+        out.update(w)
+        out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return out
+
+
+def _ranked(found: Counter, size: int) -> list[str]:
+    return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], x[0].ljust(3, "\0")))[:size]]
+
+
+def plain_profiles(rows, size: int) -> list[tuple[str, list[str]]]:
+    by: dict[str, Counter] = defaultdict(Counter)
+    for key, text, lang in rows:
+        if text is not None and lang is not None and (key is None or zlib.crc32(str(key).encode()) % 4 != 2):
+            by[lang] += plain_grams(text)
+    return [(lang, _ranked(by[lang], size)) for lang in sorted(by)]
+
+
+def plain_language(text: str | None, profiles, size: int) -> tuple[str, float]:
+    own = _ranked(plain_grams(text), size)
+    if not own:
+        return "und", 0.0
+    best = None
+    for lang, profile in profiles:
+        place = {g: k for k, g in enumerate(profile)}
+        far = sum(abs(place[g] - k) if g in place else size for k, g in enumerate(own))
+        if best is None or far < best[0]:
+            best = (far, lang)
+    return best[1], round(1 - best[0] / (size * len(own)), 9)

@@ -9,10 +9,12 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quernel.llm import bpe, bpe_codec, exact_dedup, language_id, license_scan, minhash_dedup, mixing, quality_rules, suffix_dedup, token_counts, warc
 from quernel.llm.queries import oracle_sql, queries
@@ -108,6 +110,28 @@ def test_an_edit_encodes_little_of_a_long_text():
     assert 0 < tree.reencoded < 40
 
 
+def test_blocks_split_and_trees_are_kept(spark, coder):
+    own, text = bpe.load(), "one two"
+    tree = token_counts.TokenTree(own, text)
+    for k in range(3000):
+        tree.edit(len(tree.text) // 2, len(tree.text) // 2, f" w{k}")
+    assert max(len(x) for x, _ in tree.blocks) <= 2 * token_counts.BLOCK and len(tree.blocks) > 40
+    assert tree.n_tokens == len(coder.encode_ordinary(tree.text)) and tree.reencoded < 9 * 3000
+    tree.edit(3, len(tree.text) - 3, "")
+    assert len(tree.blocks) < 4 and tree.n_tokens == len(coder.encode_ordinary(tree.text))
+
+    long = fixtures.prose(4, 20_000)
+    docs = spark.createDataFrame([(1, long, "x"), (2, None, "x"), (3, "some words", "x"), (3, "some words", "x"), (None, "no id", "x")], "doc_id long, text string, n_tokens string")
+    kept = token_counts.build_trees(docs)
+    edits = spark.createDataFrame([(1, [(60_000, 60_005, "other words")]), (1, [(5, 9, None)]), (2, [(0, 0, "new text")]), (3, [(None, 1, "x")]), (9, [(0, 1, "x")]), (None, [(0, 1, "x")])], "doc_id long, edits array<struct<start:int,stop:int,new:string>>")
+    got = token_counts.edit_trees(kept, edits).collect()
+    assert sorted((r["doc_id"] or 0, r["n_reencoded"] > 0) for r in got) == [(0, False), (1, True), (2, True), (3, False), (3, False)]
+    assert all(r["n_tokens"] == len(coder.encode_ordinary(r["text"])) and r["n_reencoded"] < 60 for r in got)
+    after = long[:5] + long[9:]
+    assert next(r["text"] for r in got if r["doc_id"] == 1) == after[:60_000] + "other words" + after[60_005:]
+    assert token_counts.edit_trees(kept.limit(0), edits.limit(0)).count() == 0
+
+
 # --- 2 exact deduplication
 
 
@@ -156,6 +180,38 @@ def test_chains_and_large_groups_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("num", [60, 90, 95, 100])
+def test_near_duplicates_at_other_thresholds(num, spark):
+    rows = [(k, fixtures.edited(fixtures.prose(k % 25, 150), k, k // 25 * 2)) for k in range(150)]
+    rows += [(1000 + k, fixtures.prose(31, 100 + k // 2)) for k in range(40)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, num, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == fixtures.near_components(rows, 3, num, 100)
+
+
+def test_a_chunk_is_one_long_at_every_threshold():
+    for num in range(50, 101):
+        r = minhash_dedup.radius(num, 100)
+        parts = minhash_dedup.chunks(r)
+        assert max(map(len, parts)) <= minhash_dedup.CHUNK and sum(map(len, parts)) == minhash_dedup.LANES and r < 2 * len(parts)
+
+
+def test_no_link_is_lost_on_a_large_table(spark, sf):
+    """Components of the whole sf0.01 table equal those that all pairs of sets give."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = fixtures.near_components_by_gram(rows, 5, 80, 100)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert sum(got[i] == want[i] for i in want) == len(want) and sum(want[i] != i for i in want) > 20
+
+
+def test_a_bucket_of_many_sizes_and_ids_that_repeat(spark):
+    base = fixtures.prose(77, 400)
+    rows = [(k, " ".join(base.split()[: 40 + 2 * k])) for k in range(180)] + [(3, fixtures.prose(78, 90)), (500, fixtures.prose(78, 90)), (3, fixtures.prose(78, 90)), (None, fixtures.prose(78, 90))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    want = fixtures.near_components([r for r in rows[:180]], 3, 85, 100)
+    assert {r["component_id"] for r in got if r["doc_id"] is not None} == {want[3]} == {r["component_id"] for r in got if r["doc_id"] is None}
+
+
 # --- 4 quality rules
 
 
@@ -178,6 +234,40 @@ def test_rules_are_learned_and_base_failures_go(spark, sf):
     assert sum(right) >= 0.6 * len(right)
 
 
+def test_rules_hold_on_labels_they_never_saw(spark):
+    """Rules from two thirds of the labels: there are some, they beat the base alone on the rest, and spare good documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality_rules.statistics(docs).cache()
+    seen = F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0
+    rules = quality_rules.fit(stats, labels.where(seen))
+    assert rules and all(rules) and rules == quality_rules.fit(stats, labels.where(seen).union(labels.where(seen)).withColumn("n_words", F.lit("x")))
+    got = quality_rules.judge(stats, rules).join(labels.where(~seen & F.col("quality").isNotNull()), "doc_id").select("quality", "base_failed", "kept").collect()
+    stats.unpersist()
+    right = sum(r["kept"] == bool(r["quality"]) for r in got)
+    base = sum((not r["base_failed"]) == bool(r["quality"]) for r in got)
+    good = [r["kept"] for r in got if r["quality"] == 1 and not r["base_failed"]]
+    assert len(got) > 100 and right >= base and sum(good) >= 0.97 * len(good), (right, base, len(got))
+
+
+def test_planted_rules_are_found():
+    r = random.Random(5)
+    n = 3000
+    x = {"symbols": np.array([r.random() for _ in range(n)]), "digits": np.array([r.random() for _ in range(n)]), "noise": np.array([r.random() for _ in range(n)])}
+    poor = (x["symbols"] > 0.9) | ((x["digits"] > 0.7) & (x["symbols"] < 0.2))
+    rules = quality_rules.learn(x, poor, np.arange(n) % 3 == 2)
+    covered = np.zeros(n, dtype=bool)
+    for rule in rules:
+        covered |= quality_rules._covers(rule, x, n)
+    assert 2 <= len(rules) <= 4 and (covered == poor).mean() > 0.99 and all(c.feature != "noise" for rule in rules for c in rule)
+
+
+def test_labels_that_repeat_or_share_an_id_stay_within_the_bound(spark, awkward):
+    stats = quality_rules.statistics(awkward.union(awkward))
+    rows = [(i, q, "x") for i in range(0, 101, 7) for q in (0, 1)] * 3 + [(None, 1, "x"), (8, None, "x")]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, n_words string")
+    assert quality_rules.fit(stats, labels, rows=5) == [] and isinstance(quality_rules.fit(stats, labels), list)
+
+
 def test_no_labels_no_rules(spark, awkward, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     stats = quality_rules.statistics(awkward)
@@ -279,6 +369,16 @@ def test_warc_without_rows_and_without_ids(spark, tmp_path):
     assert got == [(0, "response", 0), (0, "response", 0), (0, "revisit", 1), (1, "response", 0)]
 
 
+def test_reading_spreads_over_tasks(spark, tmp_path):
+    """Ranges are small rows; adaptive plans must not put them into one task."""
+    pages = spark.range(2500).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 3).alias("html")).repartition(16)
+    files = warc.write(pages, f"file://{tmp_path}/s")
+    assert files.count() == 16
+    found = warc.read(files).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(found) >= 12 and sum(r["count"] for r in found) == 2500 and max(r["count"] for r in found) < 1000
+    assert warc.read(files.withColumn("start", F.lit("x")), 1000).count() == 2500
+
+
 def test_warc_urls_of_any_length(spark, tmp_path):
     r = random.Random(3)
     noise = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(700_000))
@@ -391,4 +491,29 @@ def test_languages(spark, awkward, no_ids, nothing):
     assert language_id.identify(no_ids, profiles).count() == no_ids.count()
     assert language_id.fit(nothing) == [] and {r["lang_pred"] for r in language_id.identify(awkward, []).collect()} == {"und"}
     kept = language_id.known_only(no_ids, profiles)
+    for text in ("½ ²", "Ⅷ ٣ 12", "_ -", "²"):
+        assert not any(c.isalpha() for c in text) and language_id.Scorer(profiles).predict(text) == ("und", 0.0)
+    assert language_id.Scorer(profiles).predict("x²y ½the")[0] != "und" and language_id.letters("x²y ½The_cat") == "x y the cat"
     assert kept.columns == no_ids.columns and all(any(c.isalpha() for c in r["text"] or "") for r in kept.collect())
+
+
+def test_distances_equal_a_plain_version(spark, awkward):
+    """Profiles and predictions by dictionaries and loops over strings."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.where("doc_id < 60").collect() + [r for r in awkward.select("doc_id", "text", "lang").collect() if len(r["text"] or "") < 9000]
+    table = spark.createDataFrame(rows + rows[:4], "doc_id long, text string, lang string")
+    profiles = fixtures.plain_profiles({(r["doc_id"], r["text"], r["lang"]) for r in rows}, language_id.PROFILE)
+    got = language_id.fit(table)
+    assert [(k, ["".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)).rstrip("\0") for g in p]) for k, p in got] == profiles
+    scorer = language_id.Scorer(got)
+    for r in rows:
+        lang, score = scorer.predict(r["text"])
+        assert (lang, round(score, 9)) == fixtures.plain_language(r["text"], profiles, language_id.PROFILE), r["doc_id"]
+
+
+def test_rows_without_id_stay_within_the_bound(spark):
+    rows = [(None, fixtures.prose(k, 30), ["en", "fr"][k % 2]) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.fit(table)) == 2
+    assert len(language_id.fit(table, rows=1)) == 1
+    assert language_id.fit(table.union(table)) == language_id.fit(table)
