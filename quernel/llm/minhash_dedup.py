@@ -196,6 +196,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     are dealt out by a salt, and each part has the text of `u` first.
     """
     prepare(pairs.sparkSession)
+    pairs = durable(pairs.select("u", "v"), "pairs")
     many = pairs.groupBy(F.col("u").alias("m_u")).agg(F.count("*").alias("m_n")).where(F.col("m_n") > MEMBERS).select(anew("m_u").alias("m_u"), "m_n")
     salt = F.coalesce(F.pmod(F.xxhash64("v"), F.ceil(F.col("m_n") / MEMBERS)), F.lit(0)).cast("long")
     dealt = pairs.join(many, F.col("u") == F.col("m_u"), "left").select("u", salt.alias("salt"), "v")
