@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PLANAR_RADIUS_KM, PLANAR_PI, SPHERE_RADIUS_M = 6378.137, 3.1415, 6378137.0
@@ -48,9 +49,19 @@ def planar_km(lat: Column, lng: Column, lat0: float, lng0: float) -> Column:
 
 
 def within_box(lat: Column, lng: Column, lat0: float, lng0: float, km: float) -> Column:
-    """A box of latitudes that holds the circle: plain comparisons, so that scans can skip by statistics."""
-    d = km / (PLANAR_PI / 180.0 * PLANAR_RADIUS_KM) * 1.001 + 1e-6
-    return (lat >= lat0 - d) & (lat <= lat0 + d)
+    """A box that holds the circle: plain comparisons, so that scans can skip by statistics.
+
+    Planar distances do not wrap at 180 degrees, so the box does not either;
+    near the poles it is as wide as all longitudes.
+    """
+    degree = PLANAR_PI / 180.0 * PLANAR_RADIUS_KM
+    d = km / degree * 1.001 + 1e-6
+    box = (lat >= lat0 - d) & (lat <= lat0 + d)
+    narrow = min(math.cos((lat0 + x / 2) * PLANAR_PI / 180.0) for x in (-d, 0, d))  # the middle latitude is half way
+    if narrow < 0.01:
+        return box
+    e = d / narrow * 1.001
+    return box & (lng >= lng0 - e) & (lng <= lng0 + e)
 
 
 def haversine_m(lat: Column, lng: Column, lat0: float, lng0: float) -> Column:
@@ -59,17 +70,18 @@ def haversine_m(lat: Column, lng: Column, lat0: float, lng0: float) -> Column:
 
 
 def neighbours(lat_cell: Column, lng_cell: Column) -> Column:
-    """The nine cells around and including one."""
-    return F.array(*[F.struct((lat_cell + i).alias("lat_cell"), (lng_cell + j).alias("lng_cell")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-
+    """The nine cells around and including one, without those past a pole; longitudes go round."""
+    n = 1 << CELL_BITS
+    cells = F.array(*[F.struct((lat_cell + i).alias("lat_cell"), F.pmod(lng_cell + j, F.lit(n)).cast("int").alias("lng_cell")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    return F.filter(cells, lambda x: x["lat_cell"].between(0, n - 1))
 
-def destination(lat: float, lng: float, bearing: float, metres: float) -> tuple[float, float]:
-    """Where one arrives on a sphere from a place by a bearing."""
-    import math
 
-    d, b, p, q = metres / SPHERE_RADIUS_M, math.radians(bearing), math.radians(lat), math.radians(lng)
-    to = math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(b))
-    return math.degrees(to), math.degrees(q + math.atan2(math.sin(b) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(to)))
+def destination(lat: Column, lng: Column, bearing: Column, metres: Column) -> Column:
+    """Where one arrives on a sphere from a place by a bearing: struct of lat and lng."""
+    d, b, p, q = metres / SPHERE_RADIUS_M, F.radians(bearing), F.radians(lat), F.radians(lng)
+    to = F.asin(F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b))
+    turn = F.atan2(F.sin(b) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * F.sin(to))
+    return F.struct(F.degrees(to).alias("lat"), F.degrees(q + turn).alias("lng"))
 
 
 Point = tuple[float, float]
@@ -130,3 +142,45 @@ def to_polygon(lat: Column, lng: Column, polygon: Sequence[Point]) -> Column:
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lng - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / n)) if n else F.lit(0.0)
         out.append(F.sqrt(F.pow(lng - (x1 + t * (x2 - x1)), 2) + F.pow(lat - (y1 + t * (y2 - y1)), 2)))
     return F.least(*out)
+
+
+def shape_column(wkt: Column) -> Column:
+    """`POLYGON((lng lat, ..))` as closed array<struct<lng, lat>>; null for what is none."""
+    inside = F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*\(\(([^()]*)\)\)\s*$", 1)
+    points = F.transform(F.split(inside, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
+    made = F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("double").alias("lng"), F.get(p, F.lit(1)).try_cast("double").alias("lat")))
+    whole = (F.size(made) >= 3) & F.forall(points, lambda p: F.size(p) == 2) & F.forall(made, lambda p: p["lng"].isNotNull() & p["lat"].isNotNull())
+    closed = F.when(F.get(made, F.lit(0)) == F.element_at(made, -1), made).otherwise(F.concat(made, F.slice(made, 1, 1)))
+    return F.when(whole, closed)
+
+
+def in_shape(lat: Column, lng: Column, shape: Column) -> Column:
+    """Even-odd rule over a column of closed vertices."""
+    edges = F.transform(F.sequence(F.lit(1), F.size(shape) - 1), lambda i: F.struct(F.get(shape, i - 1).alias("a"), F.get(shape, i).alias("b")))
+
+    def crosses(e: Column) -> Column:
+        x1, y1, x2, y2 = e["a"]["lng"], e["a"]["lat"], e["b"]["lng"], e["b"]["lat"]
+        return ((y1 > lat) != (y2 > lat)) & (lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
+
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def places_in_shapes(places: DataFrame, shapes: DataFrame, lat: str, lng: str, shape: str, exact: bool = True, bits: int = 5) -> DataFrame:
+    """Joins a table of places with a table of shapes: each place with each shape that holds it.
+
+    Both meet in coarse cells of `bits` bits of latitude and longitude, so it
+    is an equality join that deals out and splits like any other; a shape has a
+    row for each coarse cell of its box. Within a cell the box in fine cells
+    decides, then the outline if `exact`.
+    """
+    shift = 1 << (CELL_BITS - bits)
+    coarse = lambda c: F.floor(c / shift).cast("int")
+    low, high = (lambda n: F.array_min(F.transform(shape, lambda p: p[n]))), (lambda n: F.array_max(F.transform(shape, lambda p: p[n])))
+    box = shapes.withColumns({"__a": cell_lat(low("lat")), "__b": cell_lat(high("lat")), "__c": cell_lng(low("lng")), "__d": cell_lng(high("lng"))}).where(F.col(shape).isNotNull())
+    box = box.withColumn("__y", F.explode(F.sequence(coarse(F.col("__a")), coarse(F.col("__b"))))).withColumn("__x", F.explode(F.sequence(coarse(F.col("__c")), coarse(F.col("__d")))))
+    at = places.withColumns({"__lat": cell_lat(F.col(lat)), "__lng": cell_lng(F.col(lng))})
+    at = at.withColumns({"__py": coarse(F.col("__lat")), "__px": coarse(F.col("__lng"))})
+    inside = (F.col("__py") == F.col("__y")) & (F.col("__px") == F.col("__x")) & F.col("__lat").between(F.col("__a"), F.col("__b")) & F.col("__lng").between(F.col("__c"), F.col("__d"))
+    found = at.join(box, inside)
+    found = found.where(in_shape(F.col(lat), F.col(lng), F.col(shape))) if exact else found
+    return found.drop("__a", "__b", "__c", "__d", "__y", "__x", "__lat", "__lng", "__py", "__px")

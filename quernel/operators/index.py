@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..schema import IndexSpec
+from ..session import exists, remove
 
-#: Positions that a posting keeps.
-POSITIONS = 26
+#: Buckets of terms that written postings are laid out by.
+BUCKETS = 64
 
 
-def postings(docs: DataFrame, key: str, field: str, analyzer: str = "word", positions: int = POSITIONS, only: Sequence[str] | None = None) -> DataFrame:
-    """doc_id, field, term, tf, positions (the first ones) for each document and term.
+def postings(docs: DataFrame, key: str, field: str, analyzer: str = "word", positions: int | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, field, term, tf, positions (all, or the first ones) for each document and term.
 
     Terms of one document stay with it: sorting its terms with their places
     groups them in the row, so building postings needs no shuffle. `only` names
@@ -24,14 +28,15 @@ def postings(docs: DataFrame, key: str, field: str, analyzer: str = "word", posi
     """
     terms = docs.select(F.col(key).cast("string").alias("doc_id"), text.analyze(analyzer, F.col(field)).alias("t"))
     placed = F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("at")))
-    placed = F.array_sort(placed if only is None else F.filter(placed, lambda x: x["term"].isin(list(only))))
+    wanted = (lambda x: x["term"].isNotNull()) if only is None else (lambda x: x["term"].isin(list(only)))
+    placed = F.array_sort(F.filter(placed, wanted))
     at = F.col("found")
     ends = F.filter(F.transform(at, lambda x, i: F.struct(x["term"].alias("term"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(F.col("found"), x["i"] - 1)["term"] != x["term"]))
     rows = terms.select("doc_id", placed.alias("found")).select("doc_id", "found", ends.alias("heads"))
     spans = F.transform("heads", lambda h, j: F.struct(h["term"].alias("term"), h["i"].alias("a"), F.coalesce(F.get(F.col("heads"), j + 1)["i"], F.size("found")).alias("b")))
     one = rows.select("doc_id", "found", F.explode(spans).alias("s"))
     tf = F.col("s.b") - F.col("s.a")
-    return one.select("doc_id", F.lit(field).alias("field"), F.col("s.term").alias("term"), tf.alias("tf"), F.transform(F.slice("found", F.col("s.a") + 1, F.least(tf, F.lit(positions))), lambda x: x["at"]).alias("positions"))
+    return one.select("doc_id", F.lit(field).alias("field"), F.col("s.term").alias("term"), tf.alias("tf"), F.transform(F.slice("found", F.col("s.a") + 1, tf if positions is None else F.least(tf, F.lit(positions))), lambda x: x["at"]).alias("positions"))
 
 
 def index_documents(docs: DataFrame, spec: IndexSpec) -> DataFrame:
@@ -46,9 +51,92 @@ def index_documents(docs: DataFrame, spec: IndexSpec) -> DataFrame:
     return out
 
 
-def write_postings(made: DataFrame, path: str, buckets: int = 64) -> None:
-    """Partitioned by field and a bucket of the term, so that a lookup reads one folder."""
-    made.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("field", "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("field", "bucket").parquet(path)
+def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(made: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
+    """Partitioned by field and a bucket of the term, sorted by term, so that a lookup reads one folder and skips most of it.
+
+    Rows are dealt by folder and rebalanced: adaptive plans cut a large bucket,
+    or one hot term, over several tasks and files and join small ones.
+    """
+    rows = made.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", F.col("field"), F.col("bucket"))
+    rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.mode(mode).partitionBy("field", "bucket").parquet(path)
+
+
+@dataclass(frozen=True)
+class Store:
+    """A written index: postings, statistics of terms, and the number of documents."""
+
+    postings: DataFrame
+    stats: DataFrame
+    n_docs: int
+    buckets: int
+
+    def lookup(self, table: DataFrame, wanted: Iterable[tuple[str, str]]) -> DataFrame:
+        """The rows of `table` for (field, term) pairs: folders by constants, terms by a filter that reaches the scan."""
+        wanted = list(wanted)
+        spark = table.sparkSession
+        terms = sorted({t for _, t in wanted})
+        numbers = spark.sql("SELECT explode(from_json(:t, 'array<string>')) AS t", args={"t": json.dumps(terms)}).select("t", bucket_of(F.col("t"), self.buckets).alias("b"))
+        bucket = {r["t"]: r["b"] for r in numbers.collect()}
+        of: dict[str, list[str]] = {}
+        for f, t in wanted:
+            of.setdefault(f, []).append(t)
+        keep = F.lit(False)
+        for f, ts in of.items():
+            keep = keep | ((F.col("field") == f) & F.col("bucket").isin(sorted({bucket[t] for t in ts})) & F.col("term").isin(ts))
+        # said once more over all fields, in a form that prunes folders and row groups
+        return table.where(F.col("field").isin(sorted(of)) & F.col("bucket").isin(sorted(set(bucket.values()))) & F.col("term").isin(terms)).where(keep)
+
+    def frequencies(self, wanted: Iterable[tuple[str, str]]) -> dict[tuple[str, str], int]:
+        """Documents of each (field, term): as many numbers as a query has terms."""
+        return {(r["field"], r["term"]): r["df"] for r in self.lookup(self.stats, wanted).select("field", "term", "df").collect()}
+
+
+def write_store(docs: DataFrame, spec: IndexSpec, path: str, buckets: int = BUCKETS) -> Store:
+    """Writes postings and their statistics as a new generation under `path`; the one before is dropped when it is whole.
+
+    A write that fails leaves what was there: the new generation counts only
+    once its last part, the statistics, is complete.
+    """
+    spark = docs.sparkSession
+    old, new = _last(spark, path), uuid.uuid4().hex[:8]
+    number = (old[0] if old else 0) + 1
+    root = f"{path}/g{number:08d}-{new}"
+    write_postings(index_documents(docs, spec), f"{root}/postings", buckets)
+    made = spark.read.parquet(f"{root}/postings")
+    n = docs.count()
+    stats = made.groupBy("field", "bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf")).withColumns({"n_docs": F.lit(n), "buckets": F.lit(buckets)})
+    stats.hint("rebalance", F.col("field"), F.col("bucket")).sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{root}/stats")
+    if old:
+        remove(spark, old[1])
+    return _open(spark, root, buckets, n)
+
+
+def open_store(spark: SparkSession, path: str) -> Store:
+    """The last whole generation under `path`."""
+    found = _last(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no index under {path}")
+    one = spark.read.parquet(f"{found[1]}/stats").select("n_docs", "buckets").first()
+    return _open(spark, found[1], one["buckets"] if one else BUCKETS, one["n_docs"] if one else 0)
+
+
+def _open(spark: SparkSession, root: str, buckets: int, n: int) -> Store:
+    kinds = "doc_id string, field string, term string, tf int, positions array<int>, bucket int"
+    stats = "field string, term string, df long, total_tf long, bucket int"
+    return Store(spark.read.schema(kinds).parquet(f"{root}/postings"), spark.read.schema(stats).parquet(f"{root}/stats"), n, buckets)
+
+
+def _last(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    names = sorted((x.getPath().getName() for x in fs.listStatus(where) if x.getPath().getName().startswith("g")), reverse=True)
+    return next(((int(x[1:9]), f"{path}/{x}") for x in names if exists(spark, f"{path}/{x}/stats/_SUCCESS")), None)
 
 
 def term_stats(made: DataFrame) -> DataFrame:
@@ -58,8 +146,7 @@ def term_stats(made: DataFrame) -> DataFrame:
 def phrase(made: DataFrame, first: str, second: str, gap: int = 2) -> DataFrame:
     """Documents in which `second` follows `first` within `gap` words: each document's two postings meet in one aggregate.
 
-    Only places that the postings kept count (POSITIONS by default), so what
-    follows a term's last kept place is missed; `postings` takes a larger number.
+    Places that the postings kept count: all, unless they were built with `positions`.
     """
     two = made.where(F.col("term").isin(first, second)).groupBy("doc_id").agg(
         F.flatten(F.collect_list(F.when(F.col("term") == first, F.col("positions")))).alias("a"), F.flatten(F.collect_list(F.when(F.col("term") == second, F.col("positions")))).alias("b")
@@ -68,7 +155,13 @@ def phrase(made: DataFrame, first: str, second: str, gap: int = 2) -> DataFrame:
 
 
 def clip_newest(rows: DataFrame, key: str, order: list, limit: int, share: float = 0.8) -> DataFrame:
-    """Keys over `limit` keep their newest `share` of it; others keep all."""
-    n = F.count("*").over(Window.partitionBy(key))
-    r = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumns({"__n": n, "__r": r}).where((F.col("__n") <= limit) | (F.col("__r") <= int(limit * share))).drop("__n", "__r")
+    """Keys over `limit` keep their newest `share` of it; others keep all.
+
+    A key's count is an aggregate with partial sums, and ranks past `limit` are
+    cut before rows move, so that a hot key is no more than `limit` rows of
+    each task.
+    """
+    many = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__r") <= limit)
+    both = ranked.join(many, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return both.where(F.col("__n").isNull() | (F.col("__r") <= int(limit * share))).drop("__n", "__r", "__key")

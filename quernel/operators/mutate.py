@@ -35,14 +35,32 @@ def valid_pins(pins: DataFrame, word: str, now: Column) -> DataFrame:
 
 
 def add_pins(pins: DataFrame, new: DataFrame, hours: int = 24) -> DataFrame:
-    """Pins one row for each of `words` (split at |), a day long unless said."""
+    """Pins one row for each of `words` (split at |, blank ones left out), a day long unless said.
+
+    A pin that ends before it starts never shows, as its times say.
+    """
     start = F.coalesce("start_time", F.current_timestamp())
     made = new.select(F.explode(F.split("words", r"\|")).alias("word"), "doc_id", "weight", start.alias("start_time"), F.coalesce("end_time", start + F.make_interval(hours=F.lit(hours))).alias("end_time"))
-    return replace(pins, made, ["word", "doc_id"])
+    return replace(pins, made.where(F.trim("word") != ""), ["word", "doc_id"])
 
 
 def drop_pins(pins: DataFrame, gone: DataFrame) -> DataFrame:
-    return pins.join(gone.select("word", "doc_id").distinct(), ["word", "doc_id"], "left_anti")
+    """Without the pins of `gone`: (word, doc_id) pairs, or documents with all their words."""
+    key = [c for c in ("word", "doc_id") if c in gone.columns]
+    return pins.join(gone.select(*key).distinct(), key, "left_anti")
+
+
+def add_column(table: DataFrame, name: str, kind: str, default: object = None) -> DataFrame:
+    """A column added while in use: old rows have the default; an error if it is there."""
+    if name in table.columns:
+        raise ValueError(f"there is a column {name}")
+    return table.withColumn(name, F.lit(default).cast(kind))
+
+
+def auto_columns(rows: DataFrame, first: int = 1, at: Column | None = None) -> DataFrame:
+    """Adds row_id, created and modified: numbers from `first` on, unique and rising with no order of their own; times of the write."""
+    at = F.current_timestamp() if at is None else at
+    return rows.withColumns({"row_id": F.monotonically_increasing_id() + first, "created": at, "modified": at})
 
 
 def insert(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -31,22 +31,29 @@ def sf():
     return SF
 
 
-@pytest.fixture(scope="session")
-def duck():
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     return con
 
 
 @pytest.fixture(scope="session")
-def same_rows(duck, spark):
+def duck():
+    return connect(SF)
+
+
+@pytest.fixture(scope="session")
+def same_rows(duck):
     """Asserts that a DataFrame has the rows and columns of a DuckDB query, in any order."""
     from tests.compare import normal
 
-    def check(df, sql):
-        got = duck.execute(sql)
+    known = {SF: duck}
+
+    def check(df, sql, folder=SF):
+        con = known.setdefault(folder, None) or known.update({folder: connect(folder)}) or known[folder]
+        got = con.execute(sql)
         names = [x[0] for x in got.description]
         order = sorted(range(len(names)), key=names.__getitem__)
         want = sorted(normal([r[i] for i in order]) for r in got.fetchall())
