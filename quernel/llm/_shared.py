@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove, shared_folder
+
 #: Rows and bytes that one Arrow batch holds, so that a worker's memory does
 #: not depend on how long the texts are.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 #: ASCII white space, as the word pattern `[^\x20\x09-\x0D]+` has it.
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_own_folder: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,25 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and lets Python workers import this package."""
+    """Bounds Arrow batches; on a local master also lets Python workers import this package from where it lies.
+
+    On a cluster the package is installed, or sent along, on every node.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not spark.sparkContext.master.startswith("local"):
+        return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="quernel-"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return f"file://{_own_folder[0]}"
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
     return f"{shared_folder(spark)}/quernel-{app}/{label}-{uuid.uuid4().hex[:12]}"
@@ -74,13 +67,10 @@ def anew(c: str) -> Column:
 
 def forget(df: DataFrame) -> None:
     """Removes the files behind a `durable` result that nothing reads any more."""
-    spark = df.sparkSession
-    root = f"{shared_folder(spark)}/quernel-"
-    jvm = spark.sparkContext._jvm
+    root = f"{shared_folder(df.sparkSession)}/quernel-"
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
         if root.split("://")[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, folder)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[dict]], dict]], schema: str) -> DataFrame:

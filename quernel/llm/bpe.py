@@ -16,15 +16,37 @@ import base64
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import public_tokenizers
 import regex
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Entries that one worker's caches hold: pieces in each of two generations, and pairs of tokens.
-CACHE_PIECES, CACHE_PAIRS = 250_000, 400_000
+CACHE_PIECES, CACHE_PAIRS = 150_000, 250_000
 NONE = -1
 
 
+class _Pieces(dict):
+    """Ids of pieces, made when first asked for; what is known is found without a call in Python.
+
+    Two generations: when one is full it becomes the older one, and what is
+    asked for again survives.
+    """
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece) or self.make(piece)
+        if len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Bpe:
     """The ranks of a vocabulary file and what follows from them."""
 
@@ -34,20 +56,19 @@ class Bpe:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.splits: dict[int, tuple[int, int]] = {}
-        self.trie: dict = {}
+        self.longest = max(map(len, self.ranks))
+        #: Finds the tokens that end at each byte, the longest first; bytes go in as the characters of their numbers.
+        self.ends = ahocorasick.Automaton()
         for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 parts = self.merge(token, rank)
                 if len(parts) != 2:
                     continue  # merges never make it
                 self.splits[rank] = (parts[0], parts[1])
-            node = self.trie
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[NONE] = rank
+            self.ends.add_word(token.decode("latin-1"), (len(token), rank))
+        self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces = _Pieces(self.encode_piece)
 
     def merge(self, data: bytes, below: int | None = None) -> list[int]:
         """Merges by rank, lowest first and leftmost among equals; only ranks under `below`."""
@@ -88,24 +109,48 @@ class Bpe:
             else:
                 limit, right = right + 1, b[0]
 
+    def extend(self, last: list[int], text: str, start: int) -> None:
+        """Adds to `last` the last token of each prefix up to the end of `text`, which has a character for each byte from byte `start` on.
+
+        Of the tokens that end at a byte, the longest first, one may stand where it does.
+        """
+        size, known, fits = len(last), self.pairs, self.side_by_side
+        add, start1 = last.append, start + 1
+        for end, (n, token) in self.ends.iter(text):
+            i = start1 + end
+            if i < size:
+                continue  # known, or found by a longer token
+            j = i - n
+            if j:
+                before = last[j]
+                ok = known.get(before << 20 | token)
+                if not (fits(before, token) if ok is None else ok):
+                    continue
+            add(token)
+            size += 1
+        if size != start1 + len(text):
+            raise ValueError("the vocabulary lacks a byte")
+
+    def walk(self, last: list[int]) -> list[int]:
+        """The tokens of the longest prefix, from its end back."""
+        out, i, bytes_of = [], len(last) - 1, self.bytes_of
+        while i:
+            out.append(last[i])
+            i -= len(bytes_of[last[i]])
+        return out[::-1]
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """The ids of one match of the pattern."""
         data = piece.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(PrefixTable(self, data).tokens())
-
-    def __getitem__(self, piece: str) -> tuple[int, ...]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = self.older.get(piece) or self.encode_piece(piece)
-            if len(piece) <= 64:
-                if len(self.cache) >= CACHE_PIECES:  # what was used lately survives
-                    self.cache, self.older = {}, self.cache
-                self.cache[piece] = ids
-        return ids
+        if whole is not None:
+            return (whole,)
+        last = [NONE]
+        self.extend(last, piece if len(piece) == len(data) else data.decode("latin-1"), 0)
+        return tuple(self.walk(last))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -118,81 +163,40 @@ class PrefixTable:
         self.bpe, self.data, self.last = bpe, bytearray(), [NONE]
         self.append(data)
 
-    def _next(self, i: int) -> int:
-        """The last token of the prefix of length `i`; the shorter ones are known."""
-        data, last, node, found = self.data, self.last, self.bpe.trie, []
-        j = i
-        while j > 0:
-            node = node.get(data[j - 1])
-            if node is None:
-                break
-            j -= 1
-            token = node.get(NONE)
-            if token is not None:
-                found.append((j, token))
-        fits = self.bpe.side_by_side
-        for j, token in reversed(found):
-            if j == 0 or fits(last[j], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def _extend(self, stop: int) -> None:
+        start = max(0, len(self.last) - self.bpe.longest)  # a token that ends behind the known prefixes starts no earlier
+        self.bpe.extend(self.last, self.data[start:stop].decode("latin-1"), start)
 
     def append(self, more: bytes) -> PrefixTable:
-        """Like `_next` for each new byte, written out: this is the inner loop of encoding."""
+        """Old entries never change; each new prefix gets its own."""
         self.data += more
-        data, last, trie, known, fits = self.data, self.last, self.bpe.trie, self.bpe.pairs, self.bpe.side_by_side
-        for i in range(len(last), len(data) + 1):
-            node, j, found = trie, i, []
-            while j:
-                node = node.get(data[j - 1])
-                if node is None:
-                    break
-                j -= 1
-                if NONE in node:
-                    found.append(j)
-                    found.append(node[NONE])
-            while found:
-                token = found.pop()
-                j = found.pop()
-                if not j:
-                    break
-                before = last[j]
-                ok = known.get(before << 20 | token)
-                if fits(before, token) if ok is None else ok:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-            last.append(token)
+        self._extend(len(self.data))
         return self
 
     def splice(self, start: int, end: int, new: bytes) -> int:
         """Replaces bytes start..end; returns how many entries were computed.
 
-        Behind the edit, entries are computed until as many in a row as the
-        longest token has bytes equal the old ones: from there on nothing
+        Behind the edit, entries are computed in stretches as long as the
+        longest token, until one equals the old entries: from there on nothing
         differs.
         """
-        longest = max(map(len, self.bpe.ranks))
-        tail, old = bytes(self.data[end:]), self.last[end + 1 :]
-        del self.data[start:], self.last[start + 1 :]
-        self.append(new)
-        self.data += tail
-        same, done = 0, len(new)
-        for k in range(len(tail)):
-            token = self._next(len(self.last))
-            self.last.append(token)
-            done += 1
-            same = same + 1 if token == old[k] else 0
-            if same >= longest:
-                self.last += old[k + 1 :]
+        old, longest = self.last[end + 1 :], self.bpe.longest
+        self.data[start:end] = new
+        del self.last[start + 1 :]
+        self._extend(start + len(new))
+        at = 0
+        while at < len(old):
+            stop = min(len(old), at + longest)
+            self._extend(start + len(new) + stop)
+            same = self.last[-(stop - at) :] == old[at:stop]
+            at = stop
+            if same:
+                self.last += old[at:]
                 break
-        return done
+        return len(new) + at
 
     def tokens(self) -> list[int]:
-        out, i = [], len(self.data)
-        while i > 0:
-            out.append(self.last[i])
-            i -= len(self.bpe.bytes_of[self.last[i]])
-        return out[::-1]
+        return self.bpe.walk(self.last)
 
 
 @lru_cache(maxsize=2)

@@ -29,7 +29,7 @@ class TokenTree:
         self.coder, self.text, self.reencoded, self.block = coder, text, 0, block
         if blocks is None:
             pieces = coder.pattern.findall(text)
-            blocks = [(list(map(len, pieces)), [len(x) for x in map(coder.__getitem__, pieces)])]
+            blocks = [(list(map(len, pieces)), list(map(len, map(coder.pieces.__getitem__, pieces))))]
         self._build(blocks)
 
     def _build(self, blocks: list[tuple[list[int], list[int]]]) -> None:
@@ -113,7 +113,7 @@ class TokenTree:
             fresh.append(m.group())
         if not done:
             last, old_i = len(self.blocks) - 1, len(self.blocks[-1][0])
-        counts = [len(self.coder[p]) for p in fresh]
+        counts = [len(self.coder.pieces[p]) for p in fresh]
         self.reencoded += len(fresh)
         kept = self.blocks[b][0][:i], self.blocks[b][1][:i]
         rest = self.blocks[last][0][old_i:], self.blocks[last][1][old_i:]
