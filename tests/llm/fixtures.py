@@ -155,3 +155,64 @@ def plain_language(text: str | None, profiles, size: int) -> tuple[str, float]:
         if best is None or far < best[0]:
             best = (far, lang)
     return best[1], round(1 - best[0] / (size * len(own)), 9)
+
+
+#: Notices and plain sentences in words of our own, none of them used in training.
+NOTICES = (
+    ("MIT", "This package is distributed under the MIT license; see the file LICENSE for the details."),
+    ("MIT", "The code in this repository is MIT licensed."),
+    ("MIT", "Licensed under the MIT License (MIT)."),
+    ("Apache-2.0", "Code released under the Apache License 2.0."),
+    ("Apache-2.0", "This software is licensed under the Apache License, version 2 (\"ALv2\")."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" basis; licensed under the Apache License 2.0."),
+    ("GPL", "This file is part of a program distributed under the GNU General Public License, version 2 only."),
+    ("GPL", "It is free software under the terms of the GNU General Public License version 3 or later."),
+    ("GPL", "Licensed under the GPL v3 (GNU General Public License)."),
+    ("LGPL", "This library is distributed under the terms of the GNU Lesser General Public License, version 3 or later."),
+    ("LGPL", "Released under the GNU Lesser General Public License."),
+    ("AGPL", "Licensed under the GNU Affero General Public License v3."),
+    ("AGPL", "This server is free software under the GNU Affero General Public License, version 3 or later."),
+    ("BSD", "This project is licensed under the BSD 3-Clause License."),
+    ("BSD", "Redistribution in source and binary forms, with or without modification, is permitted provided that the conditions below are met:"),
+    ("MPL-2.0", "This file is subject to the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Covered code is available under the terms of the Mozilla Public License, v. 2.0."),
+    ("ISC", "This program is licensed under the ISC License."),
+    ("CC-BY", "This article is distributed under the terms of the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY", "Content on this site is licensed under CC BY 4.0."),
+    ("CC-BY-SA", "Except where noted, text is under the Creative Commons Attribution-ShareAlike 4.0 License."),
+    ("CC-BY-SA", "This page is available under CC BY-SA 4.0."),
+    ("CC-BY-NC", "This photo is licensed under a Creative Commons Attribution-NonCommercial 4.0 License."),
+    ("CC-BY-NC", "The dataset is released under CC BY-NC 4.0."),
+    ("public-domain", "The author has released this work into the public domain."),
+    ("public-domain", "This text is in the public domain in the United States."),
+    ("proprietary", "Copyright 2019 Example Corp. All rights reserved."),
+    ("proprietary", "No part of this document may be reproduced without the prior written permission of the company."),
+    ("unknown", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0."),
+    ("unknown", "Licensed under the European Union Public Licence, version 1.2."),
+    ("unknown", "Distributed under the Boost Software License, Version 1.0."),
+    ("unknown", "Use of this software is subject to the terms of the Acme End User License Agreement."),
+    ("unknown", "Released under the Zope Public License, version 2.1."),
+    ("none", "All rights reserved by the hotel guests."),
+    ("none", "Please read the MIT course notes before class."),
+    ("none", "A driver must carry a license at all times."),
+    ("none", "The commons were free to all, and the creative people of the town met there."),
+    ("none", "The public library opens at nine and closes at five."),
+    ("none", "He took a general view of the terms and signed the agreement."),
+    ("none", "She was granted permission to leave the room."),
+    ("none", "The museum reserves the right to change its opening hours without notice."),
+    ("none", "The software crashed twice before the new version was published."),
+    ("none", "The fishing licence has to be renewed every year at the town hall."),
+    ("none", "An attribution of the painting to the younger brother is not certain."),
+    ("MIT", "Published under a MIT licence."),
+    ("Apache-2.0", "Everything here is Apache-2.0 licensed unless a file says otherwise."),
+    ("GPL", "You can redistribute this plugin under the GNU GPL v2."),
+    ("BSD", "The library comes with a 2-clause BSD license."),
+    ("CC-BY", "Figures may be reused under CC BY 4.0."),
+    ("unknown", "This module is made available under the Artistic License 2.0."),
+    ("unknown", "Licensed under the Northwind Community Licence, version 3."),
+    ("none", "The use of the hall is subject to a small fee."),
+    ("none", "They distributed the leaflets under the bridge."),
+    ("none", "Version 2.0 of the plan was released in spring."),
+    ("none", "The terms of the contract were discussed in general."),
+    ("none", "Nobody may copy from another pupil during the test."),
+)

@@ -307,15 +307,56 @@ def test_every_family_of_a_paragraph_is_given(spark, sf):
         3: (f"SPDX-License-Identifier: MIT. {apache} Text is available under the Creative Commons Attribution-ShareAlike License.", ["Apache-2.0", "CC-BY-SA", "MIT"]),
         4: (nc, ["CC-BY-NC"]),
         5: (license_scan.TEMPLATES["LGPL"][0] + " " + fixtures.prose(6, 50) + " " + license_scan.TEMPLATES["LGPL"][0], ["LGPL"]),
-        6: (f"{apache} {nc}\n{nc}", ["Apache-2.0", "CC-BY-NC"]),
+        6: (f"{apache} {nc}\n \n{nc}", ["Apache-2.0", "CC-BY-NC"]),
+        7: (license_scan.TEMPLATES["GPL"][1].replace(" terms", "\nterms").replace(" either", "\n  either").replace(" any", "\nany"), ["GPL"]),
+        8: (f"A title\nSPDX-License-Identifier: MIT\n{fixtures.prose(5, 9)}\n\n{fixtures.prose(6, 9)}", ["MIT"]),
     }
     docs = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
     got = {r["doc_id"]: r for r in license_scan.scan(docs, model).collect()}
     assert {k: r["licences"] for k, r in got.items()} == {k: v for k, (_, v) in cases.items()}
-    assert [got[k]["n_licensed"] for k in sorted(got)] == [1, 1, 1, 1, 1, 2]
+    assert [got[k]["n_licensed"] for k in sorted(got)] == [1, 1, 1, 1, 1, 2, 1, 1]
+    assert [got[k]["n_paragraphs"] for k in sorted(got)] == [1, 1, 1, 1, 1, 2, 1, 2]
     assert sorted((x["paragraph"], x["licence"]) for x in got[6]["notices"]) == [(0, "Apache-2.0"), (0, "CC-BY-NC"), (1, "CC-BY-NC")]
     for (a, one), (b, other) in zip(license_scan.TEMPLATES.items(), [*license_scan.TEMPLATES.items()][1:], strict=False):
-        assert {x for x, _, _ in model.notices(license_scan.words(f"{one[0]} {other[0]}"))} == {a, b}
+        assert {x for _, x, _, _ in model.scan(f"{one[0]} {other[0]}")[1]} == {a, b}
+    assert all(not model.scan(x)[1] for x in ("mit", "mit mit mit mit", "by and by", "All rights", "this"))
+
+
+def test_wordings_and_prose_that_training_never_saw(spark):
+    """The class that the model gives, what is reported, and that probabilities are as high as they are right."""
+    model = license_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert model.accuracy >= 0.9
+    right = reported = 0
+    chance = []
+    for want, text in fixtures.NOTICES:
+        name, p = model.classify(license_scan.words(text))
+        right += name == want
+        chance.append((p, name == want))
+        found = sorted({x[1] for x in model.scan(text)[1]}) or ["none"]
+        reported += found == [want]
+    n = len(fixtures.NOTICES)
+    assert right >= 0.9 * n and reported >= 0.88 * n, (right, reported, n)
+    assert abs(sum(p for p, _ in chance) - right) <= 0.1 * n, "calibrated in the large"
+    sure = [ok for p, ok in chance if p >= 0.9]
+    assert sum(sure) >= 0.93 * len(sure)
+
+
+def test_the_model_and_its_paragraphs_equal_plain_versions(spark, sf):
+    model = license_scan.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    r = random.Random(6)
+    known = sorted({g for g in model.index if isinstance(g, str)})
+    for _ in range(60):
+        w = [r.choice(known) if r.random() < 0.7 else "zzz" for _ in range(r.randint(1, 90))]
+        z = [float(x) for x in model.b]
+        found = [g for n in (1, 2, 3) for g in ((w[i] if n == 1 else tuple(w[i : i + n])) for i in range(len(w) - n + 1)) if g in model.index]
+        for k in range(len(z)):
+            z[k] += sum(float(model.w[model.index[g], k]) for g in found) * max(9, 3 * len(w) - 3) ** -0.5 + float(model.w[-1, k]) * sum(x not in model.index for x in w) / len(w)
+        top = max(z)
+        odds = [2.718281828459045 ** ((x - top) / model.temperature) for x in z]
+        assert np.allclose(model.probabilities([w])[0], [x / sum(odds) for x in odds], atol=1e-5)
+    text = "One two. Three\nfour five; six\n  \nSeven\n\n\n...\n\neight. Nine"
+    assert license_scan.paragraphs(text) == [[(["one", "two"], []), (["three", "four", "five"], [["three"], ["four", "five"]]), (["six"], [])], [(["seven"], [])], [(["eight"], []), (["nine"], [])]]
+    assert license_scan.paragraphs(None) == license_scan.paragraphs(" \n ") == []
 
 
 # --- 6 mixing
