@@ -24,14 +24,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._shared import durable, forget, map_rows, prepare, table, tidy
 from .minhash_dedup import STEP, Shingler, _mixed
 
 MIN_WORDS, GRAM = 50, 25
 WINDOW, REACH = MIN_WORDS - GRAM + 1, MIN_WORDS - GRAM
-#: Bytes of a word's hash in the contexts that are sorted and compared.
-WIDTH = 3
+#: Bytes of a word's hash in the contexts that are sorted and compared; two words agree by chance once in 10^12 comparisons.
+WIDTH = 5
 
 
 class _Words(Shingler):
@@ -177,20 +178,32 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "kind int, part int, key long, id long, pos int, l int, r int, full boolean, lead boolean, right binary, left binary")
 
 
-def _seams(edges: list) -> list[tuple[int, int, int]]:
-    """Spans from comparing each part's last row with the next part's first."""
-    first, last, out = {}, {}, []
-    for e in edges:
-        (first if e["kind"] == 1 else last)[e["part"]] = e
-    parts = sorted(first)
-    for p, q in zip(parts, parts[1:], strict=False):
-        a, b = last[p], first[q]
-        if a["key"] == b["key"]:
-            r = int(_common(_matrix([bytes(a["right"])]), _matrix([bytes(b["right"])]))[0]) + GRAM
-            l = int(_common(_matrix([bytes(a["left"])]), _matrix([bytes(b["left"])]))[0])  # noqa: E741
-            if l + r >= MIN_WORDS:
-                out += [(x["id"], x["pos"] - l, x["pos"] + r) for x in (a, b)]
-    return out
+def _seams(edges: DataFrame) -> DataFrame:
+    """Spans (id, start, stop) from comparing each part's last row with the first one of the next part that has any.
+
+    Only the numbers of the parts, one for each task, are put in order in one place.
+    """
+    first, last = edges.where("kind = 1"), edges.where("kind = 2")
+    after = first.select(F.col("part").alias("n_part"), F.lead("part").over(Window.orderBy("part")).alias("n_next"))
+    other = first.select(*[F.col(c).alias(f"f_{c}") for c in ("part", "key", "id", "pos", "right", "left")])
+    both = last.join(after, F.col("part") == F.col("n_part")).join(other, (F.col("n_next") == F.col("f_part")) & (F.col("key") == F.col("f_key")))
+
+    def make():
+        def work(c):
+            out = {"id": [], "start": [], "stop": []}
+            if c["id"]:
+                r = _common(_matrix(c["right"]), _matrix(c["f_right"])) + GRAM
+                l = _common(_matrix(c["left"]), _matrix(c["f_left"]))  # noqa: E741
+                for i in np.flatnonzero(l + r >= MIN_WORDS):
+                    for k in ("", "f_"):
+                        out["id"].append(c[f"{k}id"][i])
+                        out["start"].append(c[f"{k}pos"][i] - int(l[i]))
+                        out["stop"].append(c[f"{k}pos"][i] + int(r[i]))
+            return out
+
+        return work
+
+    return map_rows(both.select("id", "pos", "right", "left", "f_id", "f_pos", "f_right", "f_left"), make, "id long, start int, stop int")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -250,10 +263,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     compared = durable(_neighbours(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)), "neighbours")
     forget(suffixes)
     tidy(spark)
-    # two rows a part; their number is that of the tasks, not that of the documents
-    seams = _seams(compared.where("kind > 0").collect())
     found = compared.where("kind = 0 and r > 0").select("id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
-    found = found.union(spark.createDataFrame(seams, "id long, start int, stop int"))
+    found = found.union(_seams(compared))
 
     unsettled = compared.where("kind = 0 and not full").select("key").distinct().join(live.where("uses > 2"), F.col("key") == F.col("l_gram"), "left_semi")
     unsettled = durable(unsettled.withColumnRenamed("key", "o_key"), "unsettled")

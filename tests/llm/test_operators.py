@@ -487,11 +487,26 @@ def test_repeated_passages(awkward, no_ids, nothing, spark):
         for x in suffix_dedup.repeated_passages(docs).collect():
             found = {w for s in x["spans"] for w in range(s["start"], s["stop"])}
             if x["doc_id"] in again:
+                assert found == set(range(x["n_words"] if x["n_words"] >= suffix_dedup.MIN_WORDS else 0)), x["doc_id"]
                 continue
             assert found == want[x["doc_id"]], x["doc_id"]
             assert x["n_dup_words"] == len(found)
     assert suffix_dedup.repeated_passages(nothing).count() == 0
-    assert suffix_dedup.repeated_passages(no_ids).count() == no_ids.count()
+    without = suffix_dedup.repeated_passages(no_ids).collect()
+    assert Counter(x["doc_id"] for x in without) == Counter(x["doc_id"] for x in no_ids.collect())
+    assert all(len(x["spans"]) == (x["n_dup_words"] > 0) for x in without if x["doc_id"] is None) and sum(x["n_dup_words"] for x in without if x["doc_id"] is None) == 120
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # passages whose neighbours lie in different parts
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        whole = " ".join(passages[5].split()[:60])
+        rows = [(k, f"{fixtures.prose(k, 5)} {whole}") for k in range(30)]
+        want = fixtures.repeats(rows, suffix_dedup.MIN_WORDS)
+        for x in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            assert x["n_dup_words"] == len(want[x["doc_id"]]) >= 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_passages_that_agree_longer_with_a_farther_place(spark):
