@@ -265,6 +265,25 @@ def shard_merge(spark, d):
     return rows.dropDuplicates(["o_orderkey"]).orderBy(F.desc("o_totalprice"), F.desc("o_orderkey")).offset(20).limit(20)
 
 
+@add("shard_search", TOP.replace("LIMIT 10", "LIMIT 7 OFFSET 7") % "'with', 'license'")
+def shard_search(spark, d):
+    """The index of the documents as it is, and three shards of it by key, merge to the same page; frequencies are those of the whole."""
+    whole = docs(spark, d)
+    shards = []
+    for k in range(3):
+        mine = engine.shard_of(F.col("doc_id"), 3) == k
+        store = index.Store(whole.store.postings.where(mine), whole.store.stats, whole.store.n_docs, whole.store.buckets)
+        shards.append(engine.Index(DOCS, whole.docs.where(mine), store))
+    return found(engine.search_shards([*shards, shards[0]], {"query": {"match": {"text": "with license"}}, "page_index": 2, "page_size": 7}))
+
+
+@add("shard_sorted", PICK + " ORDER BY 2 DESC, 1 DESC LIMIT 7 OFFSET 14")
+def shard_sorted(spark, d):
+    at = orders(spark, d)
+    shards = [engine.Index(ORDERS, at.docs.where(engine.shard_of(F.col("o_orderkey"), 4) == k)) for k in range(4)]
+    return engine.search_shards(shards, BASE | {"sort_type": 5, "sort_field": "o_totalprice", "page_index": 3, "page_size": 7}).rows
+
+
 # --- places --------------------------------------------------------------------------------
 
 KM = "round(sqrt(pow((lng - 20.0) * (3.1415 / 180.0)::DOUBLE * 6378.137 * cos((lat + 40.0) / 2.0 * (3.1415 / 180.0)::DOUBLE), 2) + pow((lat - 40.0) * (3.1415 / 180.0)::DOUBLE * 6378.137, 2)), 3)".replace("3.1415 / 180.0", "3.1415::DOUBLE / 180.0::DOUBLE")
@@ -320,6 +339,11 @@ def geo_cell(spark, d):
     return places(spark, d).docs.select("c_custkey", geo.cell_lat(lat).alias("lat_cell"), geo.cell_lng(lng).alias("lng_cell"))
 
 
+@add("geo_hash", f"WITH {PLACES_CTE}, c AS (SELECT c_custkey, {CELLS[0]} AS a, {CELLS[1]} AS b FROM g) SELECT c_custkey, array_to_string(list_transform(range(6), lambda k: substr('0123456789bcdefghjkmnpqrstuvwxyz', 1 + list_sum(list_transform(range(5), lambda j: ((CASE WHEN (5 * k + j) % 2 = 0 THEN b ELSE a END >> (14 - (5 * k + j) // 2)::INT) & 1) << (4 - j)::INT))::INT, 1)), '') AS hash FROM c")
+def geo_hash(spark, d):
+    return places(spark, d).docs.select("c_custkey", geo.geohash(F.col("place.lat"), F.col("place.lng")).alias("hash"))
+
+
 @add("geo_neighbours", f"WITH {PLACES_CTE}, c AS (SELECT c_custkey, {CELLS[0]} AS a, {CELLS[1]} AS b FROM g) SELECT c_custkey, (a + i)::INT AS lat_cell, ((b + j + 32768) % 32768)::INT AS lng_cell FROM c, range(-1, 2) AS x(i), range(-1, 2) AS y(j) WHERE a + i BETWEEN 0 AND 32767")
 def geo_neighbours(spark, d):
     lat, lng = F.col("place.lat"), F.col("place.lng")

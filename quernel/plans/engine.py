@@ -290,6 +290,39 @@ def search(index: Index, request: dict) -> Result:
     return Compiler(index, dsl.parse(request)).result()
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    """The shard that a document goes to: by its key alone, so that writes and point reads agree."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(shards)).cast("int")
+
+
+def search_shards(shards: Sequence[Index], request: dict) -> Result:
+    """One request over several indexes: each gives its first rows up to the page's end, and these are merged.
+
+    A document that several shards have counts once, with its better place.
+    Scores use each shard's own frequencies, as separate servers would. Counts
+    and highlights are over all shards.
+    """
+    parsed = dsl.parse(request)
+    skip = 0 if parsed.after is not None else parsed.offset if parsed.offset is not None else (parsed.page - 1) * parsed.size
+    upto = {k: v for k, v in request.items() if k not in ("page_index", "from", "page_size", "size", "offset")} | {"page_size": skip + parsed.size}
+    compilers = [Compiler(x, dsl.parse(upto)) for x in shards]
+    found = [c.result() for c in compilers]
+    rows, matched = found[0].rows, found[0].matched
+    for x in found[1:]:
+        rows, matched = rows.unionByName(x.rows, allowMissingColumns=True), matched.union(x.matched)
+    rising = parsed.sort in ("asc", "distance") or compilers[0].distance is not None and parsed.sort == "relevance"
+    order = [F.asc_nulls_last("score"), F.asc("doc_id")] if rising else [F.desc_nulls_last("score"), F.desc("doc_id")]
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    page = rows.withColumn("__r", best).where("__r = 1").drop("__r").orderBy(*order)
+    if not parsed.everything:
+        page = (page.offset(skip) if skip else page).limit(parsed.size)
+    words = [x.highlight for x in found if x.highlight is not None]
+    highlight = None
+    for w in words:
+        highlight = w if highlight is None else highlight.union(w)
+    return Result(page, matched.distinct(), None if highlight is None else highlight.distinct().orderBy("word").limit(HIGHLIGHTS))
+
+
 def batch_search(postings: DataFrame, queries: DataFrame, k: int = 10, n_docs: int = N_DOCS) -> DataFrame:
     """Many queries as rows (query_id, term): the k best documents of each, in one job.
 
@@ -318,4 +351,4 @@ def _ranked(hits: DataFrame, k: int, n_docs: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-__all__ = ["Compiler", "Index", "Result", "batch_lookup", "batch_search", "search", "term_score"]
+__all__ = ["Compiler", "Index", "Result", "batch_lookup", "batch_search", "search", "search_shards", "shard_of", "term_score"]
