@@ -52,7 +52,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix runs over it; one across a budget's end counts whole."""
+    """Each document as often as the mix runs over it; one across a budget's end counts whole.
+
+    A null source is a source; a null text has no words and is not in the mix.
+    Rows that share doc_id and source come as often as the one of them that the
+    mix runs over most; equal rows are interchangeable. Without rows, none.
+    """
     made = durable(mixing.mix(docs), "decisions")
     copies = made.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
     copies = copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
@@ -62,7 +67,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every document.
+
+    A null text counts as empty, a null doc_id stays null; repeated rows each give a row.
+    """
     return bpe_codec.round_trip(docs, with_ids=True)
 
 

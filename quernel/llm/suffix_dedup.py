@@ -33,6 +33,8 @@ MIN_WORDS, GRAM = 50, 25
 WINDOW, REACH = MIN_WORDS - GRAM + 1, MIN_WORDS - GRAM
 #: Bytes of a word's hash in the contexts that are sorted and compared; two words agree by chance once in 10^12 comparisons.
 WIDTH = 5
+#: Rows of a part that the range sort samples.
+SAMPLE = 20
 
 
 class _Words(Shingler):
@@ -260,7 +262,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     tidy(spark)
 
     order = ("key", "right", "left", "id", "pos")
-    compared = durable(_neighbours(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)), "neighbours")
+    # the driver orders a sample of the rows, contexts included: a few from each part will do
+    sample = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(sample)
+    spark.conf.set(sample, str(SAMPLE))
+    try:
+        compared = durable(_neighbours(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)), "neighbours")
+    finally:
+        spark.conf.set(sample, before)
     forget(suffixes)
     tidy(spark)
     found = compared.where("kind = 0 and r > 0").select("id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))

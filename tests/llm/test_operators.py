@@ -294,7 +294,8 @@ def test_notices_are_found_and_prose_is_left_alone(spark, sf, nothing, no_ids):
     docs = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
     assert {r["doc_id"]: r["licences"] for r in license_scan.scan(docs, model).collect()} == {k: v for k, (_, v) in cases.items()}
     assert license_scan.scan(nothing, model).count() == 0
-    assert license_scan.scan(no_ids, model).count() == no_ids.count()
+    plain = Counter((r["doc_id"], model.scan(r["text"])[0], tuple(sorted({x[1] for x in model.scan(r["text"])[1]}))) for r in no_ids.collect())
+    assert Counter((r["doc_id"], r["n_paragraphs"], tuple(r["licences"])) for r in license_scan.scan(no_ids, model).collect()) == plain
     assert license_scan.scan(docs, license_scan.fit(nothing)).count() == len(cases)
 
 
@@ -544,7 +545,11 @@ def test_languages(spark, awkward, no_ids, nothing):
     assert right >= 0.97 * seen, (right, seen)
     profiles = language_id.fit(docs)
     assert language_id.identify(nothing, profiles).count() == 0
-    assert language_id.identify(no_ids, profiles).count() == no_ids.count()
+    scorer = language_id.Scorer(profiles)
+    plain = Counter((r["doc_id"], *scorer.predict(r["text"])) for r in no_ids.collect())
+    assert Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(no_ids, profiles).collect()) == plain
+    assert not any(r["held_out"] for r in language_id.identify(no_ids, profiles).collect() if r["doc_id"] is None)
+    assert scorer.predict("a") == scorer.predict("A") and len({x for x, _ in (scorer.predict("q") for _ in range(3))}) == 1
     assert language_id.fit(nothing) == [] and {r["lang_pred"] for r in language_id.identify(awkward, []).collect()} == {"und"}
     kept = language_id.known_only(no_ids, profiles)
     for text in ("½ ²", "Ⅷ ٣ 12", "_ -", "²"):
