@@ -188,6 +188,13 @@ def test_near_duplicates_at_other_thresholds(num, spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == fixtures.near_components(rows, 3, num, 100)
 
 
+def test_a_leader_of_many_members_is_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "MEMBERS", 4)
+    rows = [(k, fixtures.edited(fixtures.prose(12, 150), k, 1)) for k in range(60)] + [(100 + k, fixtures.edited(fixtures.prose(13, 80), k, 2)) for k in range(30)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == fixtures.near_components(rows, 3, 85, 100)
+
+
 def test_a_chunk_is_one_long_at_every_threshold():
     for num in range(50, 101):
         r = minhash_dedup.radius(num, 100)
