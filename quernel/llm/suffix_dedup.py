@@ -283,6 +283,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     more = around.join(twice, F.col("digest") == F.col("t_digest"), "left_semi").select("id", "start", (F.col("start") + MIN_WORDS).alias("stop"))
     spans = found.union(more).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found"))
     spans = durable(spans.select(F.col("id").alias("s_id"), "found"), "spans")
+    for x in (classes, live, wanted, compared, unsettled, around, twice):
+        forget(x)
+    tidy(spark)
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop")))
     both = named.join(spans, F.col("id") == F.col("s_id"), "left").select("doc_id", "n_words", F.when(F.col("copied"), whole).otherwise(F.col("found")).alias("found"))
