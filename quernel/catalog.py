@@ -557,7 +557,19 @@ def segmented(mode: str, sql: str | None = None, **options) -> None:
 STEPS = "k AS (SELECT p_partkey, s, i, coalesce(max(n) FILTER (word IS NOT NULL), 1) AS n FROM (SELECT t.p_partkey, t.s, x.i, y.n, d.word FROM t, range(1, 400) AS x(i), range(2, 9) AS y(n) LEFT JOIN d ON d.word = %s AND %s WHERE x.i <= length(t.s)) GROUP BY ALL)"
 segmented("forward", f"WITH RECURSIVE {RUNS_CTE}, {STEPS % ('substr(t.s, x.i::INT, y.n::INT)', 'x.i + y.n - 1 <= length(t.s)')}, f(p_partkey, i, words) AS (SELECT p_partkey, 1::BIGINT, []::VARCHAR[] FROM t UNION ALL SELECT f.p_partkey, f.i + k.n, list_append(f.words, substr(k.s, f.i::INT, k.n::INT)) FROM f JOIN k ON k.p_partkey = f.p_partkey AND k.i = f.i) SELECT f.p_partkey, array_to_string(words, '|') AS words FROM f JOIN t ON t.p_partkey = f.p_partkey WHERE f.i = length(t.s) + 1")
 segmented("backward", f"WITH RECURSIVE {RUNS_CTE}, {STEPS % ('substr(t.s, (x.i - y.n + 1)::INT, y.n::INT)', 'x.i >= y.n')}, f(p_partkey, i, words) AS (SELECT p_partkey, length(s)::BIGINT, []::VARCHAR[] FROM t UNION ALL SELECT f.p_partkey, f.i - k.n, list_prepend(substr(k.s, (f.i - k.n + 1)::INT, k.n::INT), f.words) FROM f JOIN k ON k.p_partkey = f.p_partkey AND k.i = f.i) SELECT p_partkey, array_to_string(words, '|') AS words FROM f WHERE i = 0")
-segmented("likeliest")
+LIKELIEST = f"""WITH RECURSIVE {RUNS_CTE}, m AS (SELECT map(list(word), list(freq)) AS m FROM d),
+f(p_partkey, s, i, best, ks) AS (
+  SELECT p_partkey, s, length(s)::BIGINT, [0.0::DOUBLE], []::BIGINT[] FROM t
+  UNION ALL
+  SELECT p_partkey, s, i - 1, list_prepend(-c.a, best), list_prepend(c.k, ks) FROM (
+    SELECT p_partkey, s, i, best, ks, list_sort(list_transform(CASE WHEN len(o) = 0 THEN [1::BIGINT] ELSE o END, lambda k: {{'a': -(ln(greatest(coalesce(m[substr(s, i::INT, k::INT)], 1), 1)::DOUBLE) - ln(8000000.0::DOUBLE) + best[k]), 'k': k}}))[1] AS c
+    FROM (SELECT f.*, m.m, list_filter(range(1, 6), lambda k: i + k - 1 <= length(s) AND map_contains(m.m, substr(s, i::INT, k::INT))) AS o FROM f, m WHERE i > 0))),
+w(p_partkey, s, ks, i, words) AS (
+  SELECT p_partkey, s, ks, 1::BIGINT, []::VARCHAR[] FROM f WHERE i = 0
+  UNION ALL
+  SELECT p_partkey, s, ks, i + ks[i], list_append(words, substr(s, i::INT, ks[i]::INT)) FROM w WHERE i <= length(s))
+SELECT p_partkey, array_to_string(words, '|') AS words FROM w WHERE i > length(s)"""
+segmented("likeliest", LIKELIEST)
 segmented("arbitrated")
 
 

@@ -9,7 +9,7 @@ from tests.conftest import SF
 
 FOLDERS = dict.fromkeys([SF, "/root/testdata/sf0.01"])
 #: Queries beyond SQL; tests/test_segmenters.py compares what they run with brute force.
-NO_SQL = {"segment_likeliest", "segment_arbitrated", "segment_discovered", "stems"}
+NO_SQL = {"segment_arbitrated", "segment_discovered", "stems"}
 
 
 @pytest.mark.parametrize("folder", FOLDERS)
