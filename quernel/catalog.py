@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -518,6 +519,66 @@ def events_session(spark, d):
     return jobs.sessions(load(spark, d, "events"), "30 minutes", "user_id").select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
+KEPT = IndexSpec.of(7, "user_id", [FieldSpec("user_id", "long"), FieldSpec("event_type", "string")])
+
+
+def kept_events(spark, d) -> jobs.Maintained:
+    """Events as a log of users, an error as a delete, merged in three batches out of order; written once."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/quernel-{app}/kept-{hashlib.sha256(d.encode()).hexdigest()[:12]}"
+    kept = jobs.Maintained(spark, path, "user_id", seq="event_id", buckets=8, spec=KEPT)
+    if kept.manifest()[0] < 2:
+        cmd = F.when(F.col("event_type") == "error", "delete").otherwise("add")
+        log = load(spark, d, "events").select("user_id", "event_id", "event_type", cmd.alias("cmd"))
+        for number, part in enumerate((1, 0, 2)):
+            kept.merge(log.where(F.col("event_id") % 3 == part), number)
+    return kept
+
+
+NEWEST = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'"
+
+
+@add("maintained_rows", NEWEST)
+def maintained_rows(spark, d):
+    return kept_events(spark, d).current().select("user_id", "event_id", "event_type")
+
+
+@add("maintained_postings", f"SELECT CAST(user_id AS VARCHAR) AS doc_id, event_type AS term, event_id AS version FROM ({NEWEST})")
+def maintained_postings(spark, d):
+    return kept_events(spark, d).postings().select("doc_id", "term", "version")
+
+
+@add("maintained_search", f"SELECT CAST(user_id AS VARCHAR) AS doc_id, 1.0::DOUBLE AS score FROM ({NEWEST}) WHERE event_type IN ('click', 'purchase')")
+def maintained_search(spark, d):
+    kept = kept_events(spark, d)
+    query = {"bool": {"should": [{"term": {"event_type": "click"}}, {"match": {"event_type": "purchase"}}]}}
+    return engine.search(engine.Index(KEPT, kept.current(), kept.store()), {"query": query, "sort_type": 3, "return_all": True}).rows
+
+
+def streamed(spark, d, plan, mode: str) -> DataFrame:
+    """What a stream over the events gives once all is read: a table of its own in memory."""
+    stream = spark.readStream.schema(load(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    name = f"streamed_{uuid.uuid4().hex[:8]}"
+    plan(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@add("stream_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, d):
+    return streamed(spark, d, lambda s: jobs.tumbling(s, "1 day", "event_type", late="60 days"), "complete").select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@add("stream_counts", "SELECT event_type, count(*) AS count FROM events GROUP BY 1")
+def stream_counts(spark, d):
+    return streamed(spark, d, jobs.running_counts, "complete")
+
+
+@add("stream_deletes", "SELECT DISTINCT user_id AS doc_id, event_type AS version FROM events")
+def stream_deletes(spark, d):
+    queue = lambda s: s.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("version"), "ts")
+    return streamed(spark, d, lambda s: jobs.coalesced_deletes(queue(s), "365 days"), "append").select("doc_id", "version")
+
+
 @add("set_operations", "(SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_operations(spark, d):
     o = load(spark, d, "orders")
