@@ -44,6 +44,11 @@ def coder():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.fixture(scope="module")
+def licences(spark):
+    return license_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
 def by_sql(sql: str, **tables) -> list:
     con = duckdb.connect()
     for name, rows in tables.items():
@@ -288,8 +293,8 @@ def test_no_labels_no_rules(spark, awkward, nothing):
 # --- 5 licence scans
 
 
-def test_notices_are_found_and_prose_is_left_alone(spark, sf, nothing, no_ids):
-    model = license_scan.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+def test_notices_are_found_and_prose_is_left_alone(spark, licences, nothing, no_ids):
+    model = licences
     cases = {
         1: ("Some words.\nLicensed under the Apache License, Version 2.0.\nMore words.", ["Apache-2.0"]),
         2: ("SPDX-License-Identifier: MIT", ["MIT"]),
@@ -306,8 +311,8 @@ def test_notices_are_found_and_prose_is_left_alone(spark, sf, nothing, no_ids):
     assert license_scan.scan(docs, license_scan.fit(nothing)).count() == len(cases)
 
 
-def test_every_family_of_a_paragraph_is_given(spark, sf):
-    model = license_scan.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+def test_every_family_of_a_paragraph_is_given(spark, licences):
+    model = licences
     apache, nc = "Licensed under the Apache License, Version 2.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
     cases = {
         1: (f"{apache} {fixtures.prose(4, 4000)} {nc}", ["Apache-2.0", "CC-BY-NC"]),
@@ -330,9 +335,9 @@ def test_every_family_of_a_paragraph_is_given(spark, sf):
     assert all(not model.scan(x)[1] for x in ("mit", "mit mit mit mit", "by and by", "All rights", "this"))
 
 
-def test_wordings_and_prose_that_training_never_saw(spark):
+def test_wordings_and_prose_that_training_never_saw(licences):
     """The class that the model gives, what is reported, and that probabilities are as high as they are right."""
-    model = license_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    model = licences
     assert model.accuracy >= 0.9
     right = reported = 0
     chance = []
@@ -349,8 +354,8 @@ def test_wordings_and_prose_that_training_never_saw(spark):
     assert sum(sure) >= 0.93 * len(sure)
 
 
-def test_the_model_and_its_paragraphs_equal_plain_versions(spark, sf):
-    model = license_scan.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+def test_the_model_and_its_paragraphs_equal_plain_versions(licences):
+    model = licences
     r = random.Random(6)
     known = sorted({g for g in model.index if isinstance(g, str)})
     for _ in range(60):
