@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,8 +76,13 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumprod(same, axis=1, dtype=np.int64).sum(axis=1)
 
 
+def _node() -> Column:
+    """What a row is called in the search: its doc_id; without one a number of its text, below -2^62."""
+    return F.coalesce(F.col("doc_id").cast("long"), -F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) - F.lit(1 << 62) - 1)
+
+
 def _survey(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, a digest of the words, positions and grams of the anchors."""
+    """doc_id, node, n_words, a digest of the words, positions and grams of the anchors."""
 
     def make():
         words = _Words(1)
@@ -90,11 +95,11 @@ def _survey(docs: DataFrame) -> DataFrame:
                 at, gram = anchors(h)
                 for k, v in (("n_words", len(h)), ("d1", int.from_bytes(d[:8], "little", signed=True)), ("d2", int.from_bytes(d[8:], "little", signed=True)), ("at", at), ("gram", gram.view(np.int64))):
                     out[k].append(v)
-            return {"doc_id": c["doc_id"]} | out
+            return {"doc_id": c["doc_id"], "node": c["node"]} | out
 
         return work
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_words long, d1 long, d2 long, at array<int>, gram array<long>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), "text"), make, "doc_id long, node long, n_words long, d1 long, d2 long, at array<int>, gram array<long>")
 
 
 SUFFIX = "key long, id long, pos int, right binary, left binary"
@@ -239,25 +244,24 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     n_words, n_dup_words, spans (array of start, stop in words, in order and
     apart), one row per input row. A text of at least MIN_WORDS words with an
     exact copy is one span; of its copies one stands for all in the search. A
-    null or short text has no span. Rows of one doc_id share their spans; a row
-    without id has spans only as a copy, and is no partner: a passage that a
-    text shares only with such a row is not found. Other columns are ignored.
+    null or short text has no span. Rows of one doc_id share their spans; rows
+    without one are searched by their texts. Other columns are ignored.
     """
     spark = docs.sparkSession
     made = durable(_survey(docs), "survey")
     long = F.col("n_words") >= MIN_WORDS
-    classes = made.where(long).groupBy(F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = made.where(long).groupBy(F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
     classes = durable(classes.where("copies > 1").select("c1", "c2", "rep"), "classes")
     same = (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & long
-    named = durable(made.join(classes, same, "left").select("doc_id", "n_words", F.coalesce("rep", "doc_id").alias("id"), F.col("c1").isNotNull().alias("copied"), "at", "gram"), "named")
+    named = durable(made.join(classes, same, "left").select("doc_id", "node", "n_words", F.coalesce("rep", "node").alias("id"), F.col("c1").isNotNull().alias("copied"), "at", "gram"), "named")
     forget(made)
 
-    places = named.where("id = doc_id").select("id", F.explode(F.arrays_zip("gram", "at")).alias("a")).select("id", F.col("a.gram").alias("gram"), F.col("a.at").alias("at"))
+    places = named.where("id = node").select("id", F.explode(F.arrays_zip("gram", "at")).alias("a")).select("id", F.col("a.gram").alias("gram"), F.col("a.at").alias("at"))
     live = durable(places.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1").select(F.col("gram").alias("l_gram"), "uses"), "live")
     wanted = places.join(live, F.col("gram") == F.col("l_gram")).groupBy("id").agg(F.collect_set("at").alias("wanted"))
     wanted = durable(wanted.withColumnRenamed("id", "w_id"), "wanted")
     tidy(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("w_id"))
+    texts = docs.select(_node().alias("id"), "text").join(wanted, F.col("id") == F.col("w_id"))
     suffixes = durable(_suffixes(texts.select("id", "text", "wanted")), "suffixes")
     tidy(spark)
 

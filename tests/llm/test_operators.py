@@ -508,6 +508,9 @@ def test_repeated_passages(awkward, no_ids, nothing, spark):
     without = suffix_dedup.repeated_passages(no_ids).collect()
     assert Counter(x["doc_id"] for x in without) == Counter(x["doc_id"] for x in no_ids.collect())
     assert all(len(x["spans"]) == (x["n_dup_words"] > 0) for x in without if x["doc_id"] is None) and sum(x["n_dup_words"] for x in without if x["doc_id"] is None) == 120
+    rows = [(7, f"{fixtures.prose(1, 20)} {passages[4]}"), (None, f"{passages[4]} {fixtures.prose(2, 30)}"), (None, f"{passages[3]} tail"), (None, f"head {passages[3]}"), (None, fixtures.prose(3, 90)), (None, None)]
+    got = sorted((x["doc_id"] or 0, x["n_words"], x["n_dup_words"]) for x in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 0), (0, 76, 75), (0, 76, 75), (0, 90, 0), (0, 170, 140), (7, 160, 140)]
     few = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "40")  # passages whose neighbours lie in different parts
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
