@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import bpe_codec, exact_dedup, language_id, minhash_dedup, mixing
-from quernel.llm._shared import ascii_lower, durable, table
+from quernel.llm._shared import WORD, ascii_lower, durable, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,15 +55,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix runs over it; one across a budget's end counts whole.
 
     A null source is a source; a null text has no words and is not in the mix.
-    Rows that share doc_id and source come as often as the one of them that the
-    mix runs over most; equal rows are interchangeable. Without rows, none.
+    Rows with words that share doc_id and source come as often as the one of
+    them that the mix runs over most. Without rows, none.
     """
-    made = durable(mixing.mix(docs), "decisions")
-    copies = made.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    copies = copies.groupBy("__id", "__source").agg(F.max("__copies").alias("__copies"))
-    both = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")))
-    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    name = F.col("doc_id").cast("long")
+    key = F.md5(F.coalesce(name.cast("string"), F.lit("")))
+    # a source's line is in the order of its keys, so one cut says how often each document comes, and texts stay where they are
+    made = mixing.mix(docs).where("taken > 0").select("source", F.struct(F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"), key.alias("key"), name.alias("doc_id")).alias("place"))
+    cuts = durable(made.groupBy(F.col("source").alias("__source")).agg(F.max("place").alias("__cut")), "cuts")
+    both = docs.where(F.col("text").rlike(WORD)).join(cuts, docs["source"].cast("string").eqNullSafe(F.col("__source")))
+    early = F.struct(key.alias("key"), name.alias("doc_id")) <= F.struct(F.col("__cut.key").alias("key"), F.col("__cut.doc_id").alias("doc_id"))
+    copies = F.col("__cut.copies") - F.when(early, 0).otherwise(1)
+    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
