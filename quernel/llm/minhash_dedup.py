@@ -12,17 +12,16 @@ Texts with equal sets are one class with one representative. A bucket (the
 texts that share a key) never is expanded into pairs: its members are first
 compared with its most connected member; once links are joined to components,
 only pairs from different components of a bucket are left to compare, and of
-these only pairs of sizes that can be similar meet. A sketch with the parity of
-a set's hashes by bit bounds the size of a symmetric difference from below,
-common parts cancelling out, so pairs that it shows too far apart are left
-inside the join and no link is; a pair that shares several keys counts at the
+these only pairs of sizes that can be similar. Such pairs may be very many, so
+they are compared by arrays, a unit of bounded size at a time. A sketch with the
+parity of a set's hashes by bit bounds the size of a symmetric difference from
+below, common parts cancelling out, so pairs that it shows too far apart are
+left there and no link is; a pair that shares several keys counts at the
 first. A large group of near copies gives about as many rows as it has members.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,6 +39,8 @@ LEADERS = 2
 BITS = 1024
 #: Lanes of a chunk at most, so that a chunk is one long; members that one leader's set is sent for.
 CHUNK, MEMBERS = 5, 256
+#: Members of a bucket that are compared in one unit of work; pairs compared at a time.
+UNIT, PAIRS = 4096, 1 << 15
 CACHE_WORDS = 200_000
 _MASK = (1 << 64) - 1
 _random = np.random.default_rng(20240229)
@@ -119,32 +120,12 @@ def keys(r: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.col("sig")[c].bitwiseAND(F.lit(signed(_MASK ^ (lane << (WIDTH * skip)))))) for k, (c, skip) in enumerate(slots(r))])
 
 
-def errors(c: int) -> Column:
-    """Lanes in which chunk `c` of a_sig and b_sig differ."""
-    x = F.col("a_sig")[c].bitwiseXOR(F.col("b_sig")[c])
+def errors(x: np.ndarray) -> np.ndarray:
+    """Lanes in which two chunks differ, for each long of `x`, the chunks' exclusive or."""
     for shift in (6, 3):  # gathers each lane of 12 bits in its lowest three
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(0x001001001001001)))
-
-
-def first_shared(r: int) -> Column:
-    """Whether a_slot is the first key that a_sig and b_sig share."""
-    table = slots(r)
-    chunk = F.element_at(F.array(*[F.lit(c) for c, _ in table]), F.col("a_slot") + 1)
-    skip = F.element_at(F.array(*[F.lit(k) for _, k in table]), F.col("a_slot") + 1)
-    first = None
-    for c in range(len(chunks(r))):
-        first = F.when(errors(c) <= 1, F.lit(c)) if first is None else first.when(errors(c) <= 1, F.lit(c))
-    return (chunk == first) & ((skip == 0) | (F.col("a_sig")[chunk] != F.col("b_sig")[chunk]))
-
-
-def distance(r: int) -> Column:
-    """Lanes in which a_sig and b_sig differ."""
-    total = F.lit(0)
-    for c in range(len(chunks(r))):
-        total = total + errors(c)
-    return total
+        x = x | (x >> np.uint64(shift))
+    x = x | (x >> np.uint64(1)) | (x >> np.uint64(2))
+    return np.bitwise_count(x & np.uint64(0x001001001001001))
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -153,14 +134,6 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def differ(a: str, b: str, longs: int) -> Column:
-    """Bits in which the first `longs` of two sketches differ: never more than the sets have elements apart."""
-    total = F.lit(0)
-    for i in range(longs):
-        total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return total
-
-
 def signatures(docs: DataFrame, words: int, r: int) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (a digest of the set), sig (a long for each chunk of lanes), bits (parity sketch)."""
 
@@ -184,9 +157,98 @@ def signatures(docs: DataFrame, words: int, r: int) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, bits array<long>")
 
 
-def band(n: Column, num: int, den: int) -> Column:
-    """Sets of similarity num / den or more lie in the same band of sizes or in neighbouring ones."""
-    return F.floor(F.log(n) / (math.log(den / num) * (1 + 1e-9))).cast("int") if num < den else n.cast("int")
+def units(n: Column, odd_n: Column) -> Column:
+    """Units of work of a bucket's row: a number, and whether the row asks and is told (compared with those that ask).
+
+    A bucket of up to UNIT members is one unit. A larger one is dealt out, those
+    that ask by those that are told, each in parts of about UNIT, so that no
+    unit outgrows a task and every pair still meets in exactly one.
+    """
+    odd, told, ask = F.col("ci") != F.col("cl"), F.ceil(n / UNIT), F.ceil(odd_n / UNIT)
+    unit = lambda i, j, asks, is_told: F.struct((i * told + j).cast("long").alias("unit"), asks.alias("asks"), is_told.alias("told"))
+    asking = F.transform(F.sequence(F.lit(0).cast("long"), told - 1), lambda j: unit(F.pmod(F.xxhash64("id", F.lit(1)), ask), j, F.lit(True), F.lit(False)))
+    being_told = F.transform(F.sequence(F.lit(0).cast("long"), ask - 1), lambda i: unit(i, F.pmod(F.xxhash64("id"), told), F.lit(False), F.lit(True)))
+    whole = F.array(unit(F.lit(0).cast("long"), F.lit(0).cast("long"), odd, F.lit(True)))
+    return F.when(n <= UNIT, whole).when(odd, F.concat(asking, being_told)).otherwise(being_told)
+
+
+def alike(c: dict[str, np.ndarray], num: int, den: int, r: int):
+    """Places a, b of the pairs of one unit that may be linked, from columns whose rows come unit by unit.
+
+    Sizes, sketches and signatures are compared for many units and pairs at a
+    time, the cheapest test first.
+    """
+    chunk, skip = np.array(slots(r)).T
+    n, ci, ids, odd, sig, few, bits = c["n_shingles"], c["ci"], c["id"], c["odd"], c["sig"], np.ascontiguousarray(c["bits"][:, :4]), np.ascontiguousarray(c["bits"][:, 4:])
+    unit = np.cumsum(np.r_[0, (c["key"][1:] != c["key"][:-1]) | (c["unit"][1:] != c["unit"][:-1])])
+    ask, told = np.flatnonzero(c["asks"]), np.flatnonzero(c["told"])
+    told = told[np.lexsort((n[told], unit[told]))]
+    span = int(n.max()) + 1
+    place = unit[told] * span + n[told]
+    low = np.searchsorted(place, unit[ask] * span - (-num * n[ask] // den))
+    count = np.searchsorted(place, unit[ask] * span + np.minimum(den * n[ask] // num, span - 1), "right") - low
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(ask):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        k = count[at:to]
+        a = np.repeat(ask[at:to], k)
+        b = told[np.arange(len(a)) + np.repeat(low[at:to] - (ends[at:to] - k - before), k)]
+        at = to
+        near = (ci[a] != ci[b]) & (~odd[b] | (ids[a] < ids[b]))
+        a, b = a[near], b[near]
+        # a link has at most this many elements apart, times num + den; the first few longs settle most
+        apart = (n[a] + n[b]) * (den - num)
+        differ = np.bitwise_count(few[a] ^ few[b]).sum(axis=1, dtype=np.int64)
+        near = differ * (num + den) <= apart
+        a, b, apart, differ = a[near], b[near], apart[near], differ[near]
+        near = (differ + np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)) * (num + den) <= apart
+        a, b = a[near], b[near]
+        x = sig[a] ^ sig[b]
+        wrong, here = errors(x), np.arange(len(a))
+        first = (wrong <= 1).argmax(axis=1)  # the chunk of the first key that both share
+        near = (wrong.sum(axis=1, dtype=np.int64) <= r) & (wrong[here, first] <= 1) & (chunk[c["slot"][a]] == first) & ((skip[c["slot"][a]] == 0) | (x[here, first] != 0))
+        yield a[near], b[near]
+
+
+def candidates(rows: DataFrame, num: int, den: int, r: int) -> DataFrame:
+    """u, v: pairs of different components that share a unit of a key and may be linked, each at the first key it shares.
+
+    `rows` has key, unit, asks, told, id, slot, ci, odd, n_shingles, sig, bits. Only
+    pairs of a row that asks are compared, each once.
+    """
+    prepare(rows.sparkSession)
+    rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit")
+
+    def run(batches):
+        def compared(t):
+            c = {k: t[k].combine_chunks() for k in t.column_names}
+            flat = lambda x: x.flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
+            c = {k: flat(x) if k in ("sig", "bits") else x.to_numpy(zero_copy_only=False) for k, x in c.items()}
+            for a, b in alike(c, num, den, r):
+                u, v = c["id"][a], c["id"][b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64())], names=["u", "v"])
+
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < 4 * UNIT:
+                continue
+            t = pa.Table.from_batches(held)
+            key, unit = (t[k].to_numpy() for k in ("key", "unit"))
+            same = (key == key[-1]) & (unit == unit[-1])  # the last unit may go on
+            whole = size - int(same.sum())
+            if whole:
+                yield from compared(t.slice(0, whole))
+            held, size = t.slice(whole).combine_chunks().to_batches(), size - whole
+        if size:
+            yield from compared(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -273,24 +335,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     of = lambda c, k: group.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(k))
     marked = led.join(of("id", "ci"), F.col("id") == F.col("ci_node"), "left").join(of("leader", "cl"), F.col("leader") == F.col("cl_node"), "left")
     marked = marked.select("key", "id", "slot", F.coalesce("ci", "id").alias("ci"), F.coalesce("cl", "leader").alias("cl"))
-    mixed = marked.where("ci <> cl").select("key").distinct().select(anew("key").alias("m_key"))
+    mixed = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("ci") != F.col("cl")).alias("odd_n")).where("odd_n > 0").select(anew("key").alias("m_key"), "n", "odd_n")
     slim = reps.select(F.col("id").alias("s_id"), "n_shingles", "sig", "bits")
-    rows = marked.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(slim, F.col("id") == F.col("s_id"))
-    rows = durable(rows.select("key", "id", "slot", "ci", (F.col("ci") != F.col("cl")).alias("odd"), "n_shingles", band(F.col("n_shingles"), num, den).alias("band"), "sig", "bits"), "open")
-    around = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
-    a = rows.where("odd").select(F.col("key").alias("a_key"), around.alias("a_band"), F.col("id").alias("a"), F.col("slot").alias("a_slot"), F.col("ci").alias("a_c"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"), F.col("bits").alias("a_bits"))
-    b = rows.select(F.col("key").alias("b_key"), F.col("band").alias("b_band"), F.col("id").alias("b"), F.col("ci").alias("b_c"), F.col("odd").alias("b_odd"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"), F.col("bits").alias("b_bits"))
-    close = (F.col("a_key") == F.col("b_key")) & (F.col("a_band") == F.col("b_band")) & (F.col("a_c") != F.col("b_c")) & (~F.col("b_odd") | (F.col("a") < F.col("b")))
-    apart = (F.col("a_n") + F.col("b_n")) * (den - num)  # a link has at most this many elements apart, times num + den
-    close = close & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
-    for longs in (4, BITS // 64):  # the first few settle most
-        close = close & (differ("a_bits", "b_bits", longs) * (num + den) <= apart)
-    close = close & first_shared(r) & (distance(r) <= r)
-    rest = a.join(b, close).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    rows = marked.join(mixed, F.col("key") == F.col("m_key")).select("key", "id", "slot", "ci", (F.col("ci") != F.col("cl")).alias("odd"), F.inline(units(F.col("n"), F.col("odd_n"))))
+    rows = rows.join(slim, F.col("id") == F.col("s_id")).select("key", "unit", "asks", "told", "id", "slot", "ci", "odd", "n_shingles", "sig", "bits")
+    rest = candidates(rows, num, den, r)
     done = links.select(F.least("u", "v").alias("f_u"), F.greatest("u", "v").alias("f_v"))
     more = confirm(rest.join(done, (F.col("u") == F.col("f_u")) & (F.col("v") == F.col("f_v")), "left_anti"), texts, words, num, den)
     more = durable(more.where("linked").select("u", "v"), "more")
-    for x in (led, texts, links, rows):
+    for x in (led, texts, links):
         forget(x)
     tidy(spark)
 

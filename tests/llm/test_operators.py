@@ -224,6 +224,40 @@ def test_a_bucket_of_many_sizes_and_ids_that_repeat(spark):
     assert {r["component_id"] for r in got if r["doc_id"] is not None} == {want[3]} == {r["component_id"] for r in got if r["doc_id"] is None}
 
 
+def test_many_texts_that_share_keys_and_are_not_alike(spark, monkeypatch):
+    """Nearly linked copies: their buckets hold millions of pairs, whose sketches and signatures are compared by arrays.
+
+    As the condition of a join they are beyond what Spark compiles, and a pair costs hundreds of times as much.
+    """
+    plans, confirm = [], minhash_dedup.confirm
+    monkeypatch.setattr(minhash_dedup, "confirm", lambda pairs, *rest: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or confirm(pairs, *rest))
+    rows = [(k, fixtures.edited(fixtures.prose(90, 400), k, 8 if k % 10 else 3)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, 3, 85, 100).collect()}
+    assert len(plans) == 2 and not any("bit_count" in line for plan in plans for line in plan.splitlines() if "Join" in line)
+    sets = [fixtures.shingles(t, 3) for _, t in rows]
+    often = {g: k for k, g in enumerate(g for g, n in Counter(g for s in sets for g in s).items() if n > 1)}
+    has = np.zeros((len(sets), len(often)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [often[g] for g in s if g in often]] = 1
+    both, sizes = has @ has.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= 85 * (sizes[:, None] + sizes - both)
+    want = np.arange(len(sets))
+    while (low := np.where(linked, want, len(sets)).min(axis=1)).tolist() != want.tolist():
+        want = low
+    assert got == dict(enumerate(want.tolist()))
+    assert 30 < np.count_nonzero(want != np.arange(len(sets))) < len(sets)
+
+
+def test_a_bucket_is_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "UNIT", 32)
+    monkeypatch.setattr(minhash_dedup, "PAIRS", 64)
+    base = fixtures.prose(77, 400)
+    rows = [(k, " ".join(base.split()[: 40 + 2 * k])) for k in range(180)] + [(1000 + k, fixtures.edited(fixtures.prose(91, 150), k, k % 7)) for k in range(120)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == fixtures.near_components(rows, 3, 85, 100)
+
+
 # --- 4 quality rules
 
 
