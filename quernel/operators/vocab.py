@@ -77,6 +77,10 @@ def syllables_by_sound(letters: str, joined: bool = True) -> list[str]:
     return [x for x in (_ONE_SOUND if joined else _TWO_SOUNDS).findall(letters) if x]
 
 
+def _initials(readings: Sequence[str]) -> list[str]:
+    return sorted({y for x in readings for y in (x[:1], x[:2]) if y in INITIALS or len(y) == 1})
+
+
 class Pinyin:
     """Readings of characters; parses of mixed queries; matching by character, syllable and initial."""
 
@@ -133,7 +137,7 @@ class Pinyin:
 
         @F.pandas_udf(kind)
         def run(s: pd.Series) -> pd.Series:
-            one = {c: {"ch": c, "py": list(v), "ini": sorted({y for x in v for y in (x[:1], x[:2]) if y in INITIALS or len(y) == 1})} for c, v in self.readings.items()}
+            one = {c: {"ch": c, "py": list(v), "ini": _initials(v)} for c, v in self.readings.items()}
             return s.map(lambda w: [one.get(c) or {"ch": c, "py": [], "ini": []} for c in w.lower()[:UNITS]] if w is not None else None)
 
         return run(word)
@@ -150,13 +154,23 @@ class Pinyin:
                 out = out | F.coalesce(one, F.lit(False))
         return out
 
+    def matches_word(self, word: Column, query: str, anywhere: bool = False) -> Column:
+        """`matches` on the word itself: a parse is a class of characters for each unit, so no units are made."""
+        ways = []
+        for parse in self.parses(query):
+            classes = [[value] if kind == "char" else [c for c, v in self.readings.items() if len(c) == 1 and value in (v if kind == "syllable" else _initials(v))] for kind, value in parse]
+            if all(classes):
+                skip = f".{{0,{UNITS - len(parse)}}}" if anywhere else ""
+                ways.append(skip + "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in one) + "]" for one in classes))
+        return F.coalesce(F.lower(word).rlike(rf"(?s)\A(?:{'|'.join(ways)})"), F.lit(False)) if ways else F.lit(False)
+
     def table(self, words: DataFrame) -> DataFrame:
         """word, freq and units of a vocabulary; words repeated count once, with their highest freq."""
         return words.groupBy("word").agg(F.max("freq").alias("freq")).withColumn("units", self.units(F.col("word")))
 
     def suggest(self, words: DataFrame, query: str, k: int = 5) -> DataFrame:
         """Words of a `table` by units; by plain prefix if none match. One plan: the worse kind counts only without the better."""
-        by_units, by_prefix = self.matches(F.col("units"), query), F.col("word").startswith(query.lower())
+        by_units, by_prefix = self.matches_word(F.col("word"), query), F.col("word").startswith(query.lower())
         found = words.select("word", "freq", F.when(by_units, 0).when(by_prefix, 1).alias("kind")).where("kind is not null")
         return _best_kind(found, k).select("word", "freq")
 
@@ -171,11 +185,11 @@ class Pinyin:
         w = query.lower()
         c, latin = F.col("word"), bool(re.fullmatch(r"[\x00-\x7f]+", w))
         near = edit_one(w, c)
-        ways = [(0, c == w), (1, self.matches(F.col("units"), w))]
+        ways = [(0, c == w), (1, self.matches_word(c, w))]
         if latin:
             ways += [(2, c.startswith(w)), (3, near)]
         elif segment is None or all(len(x) == 1 for x in segment(w)):
-            ways += [(4, self.matches(F.col("units"), self.reading(w))), (5, near)]
+            ways += [(4, self.matches_word(c, self.reading(w))), (5, near)]
         kind = F.when(F.lit(False), 0)
         for number, holds in ways:
             kind = kind.when(holds, number)
@@ -184,12 +198,9 @@ class Pinyin:
 
 
 def _best_kind(found: DataFrame, k: int) -> DataFrame:
-    """The k most frequent words of the least kind there is: k of each kind at most, then of the least."""
-    top = None
-    for kind in (0, 1):
-        one = found.where(F.col("kind") == kind).orderBy(F.desc("freq"), "word").limit(k)
-        top = one if top is None else top.union(one)
-    w = Window.orderBy("kind")  # over 2 k rows
+    """The k most frequent words of the least kind there is: the first k with that kind before the other, in one pass over the words."""
+    top = found.orderBy("kind", F.desc("freq"), "word").limit(k)
+    w = Window.orderBy("kind")  # over k rows
     return top.withColumn("least", F.first("kind").over(w)).where("kind = least").orderBy(F.desc("freq"), "word")
 
 

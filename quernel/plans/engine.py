@@ -133,7 +133,7 @@ class Compiler:
         self.reads_docs |= not by_terms
         c = F.col(q.field)
         if isinstance(q, dsl.Match) and spec.analyzer == "pinyin" and self.index.pinyin is not None:
-            return self.index.pinyin.matches(self.index.pinyin.units(c), q.text, spec.anywhere)
+            return self.index.pinyin.matches_word(c, q.text, spec.anywhere)
         if isinstance(q, dsl.Match) and spec.analyzer == "letters":
             wanted = F.regexp_replace(F.lower(F.lit(q.text)), "[^a-z]", "")
             letters = F.regexp_replace(F.lower(c), "[^a-z]", "")

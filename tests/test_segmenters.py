@@ -175,3 +175,16 @@ def test_what_was_meant(spark):
     assert meant("冬天", segment=lambda s: [s]) is None and meant("zzzzz") is None
     chars = vocab.Pinyin.of(spark.createDataFrame([("乐", "yue"), ("乐", "le")], "ch string, syllable string"))
     assert chars.readings == {"乐": ("le", "yue")} and chars.reading("乐x") == "lex"
+
+
+def test_words_match_without_their_units(spark):
+    """The class of characters of each unit gives what the units give; the words' units are not made, and words are read once."""
+    p = vocab.Pinyin({"音": ["yin"], "乐": ["le", "yue"], "会": ["hui", "kuai"], "快": ["kuai"], "张": ["zhang"], "]": ["yin"], "𠮷": ["ji"]})
+    rows = spark.createDataFrame([(w, 1) for w in ("音乐会", "快乐", "乐", "张", "Yin", "y", "]乐", "𠮷乐", "", "音" * 7 + "乐", "音" * 8 + "乐", "a\n乐", None)], "word string, freq long")
+    words = p.table(rows)
+    for query in ("yinyue", "yyk", "乐", "z", "zh", "y", "kuail", "yin乐", "ji乐", "]", "wit", ""):
+        for anywhere in (False, True):
+            by = {r["word"]: (r["a"], r["b"]) for r in words.select("word", p.matches(F.col("units"), query, anywhere).alias("a"), p.matches_word(F.col("word"), query, anywhere).alias("b")).collect()}
+            assert all(a == b for w, (a, b) in by.items() if w is not None) and by[None][1] is False, (query, anywhere)
+    plan = p.suggest(words, "yin")._jdf.queryExecution().optimizedPlan().toString()
+    assert "PythonUDF" not in plan and "run(" not in plan and "Union" not in plan
