@@ -363,5 +363,7 @@ def data_type(text: Column) -> Column:
 
 
 def time_text(seconds: Column) -> Column:
-    """Unix seconds as `yyyy-MM-dd HH:mm:ss` in the session's time zone."""
-    return F.from_unixtime(seconds, "yyyy-MM-dd HH:mm:ss")
+    """Unix seconds as `yyyy-MM-dd HH:mm:ss` in the session's time zone; a year before 0 or after 9999 as its plain number, without padding or a plus."""
+    at = F.timestamp_seconds(seconds)
+    year = F.year(at).cast("string")
+    return F.concat(F.when(F.year(at).between(0, 9999), F.lpad(year, 4, "0")).otherwise(year), F.date_format(at, "-MM-dd HH:mm:ss"))
