@@ -323,7 +323,7 @@ def geo_places_in_shapes(spark, d):
     n = F.col("s_suppkey")
     y, x, h = n * 3571 % 16000 / F.lit(100.0) - 80, n * 7129 % 34000 / F.lit(100.0) - 170, (n % 7 + 1).cast("double")
     corners = F.concat_ws(", ", *[F.concat_ws(" ", (x + i * h).cast("string"), (y + j * h).cast("string")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
-    shapes = load(spark, d, "supplier").select("s_suppkey", geo.shape_column(F.concat(F.lit("POLYGON(("), corners, F.lit("))"))).alias("shape"))
+    shapes = spread(load(spark, d, "supplier")).select("s_suppkey", geo.shape_column(F.concat(F.lit("POLYGON(("), corners, F.lit("))"))).alias("shape"))
     at = places(spark, d).docs.select("c_custkey", F.col("place.lat").alias("lat"), F.col("place.lng").alias("lng"))
     return geo.places_in_shapes(at, shapes, "lat", "lng", "shape").select("c_custkey", "s_suppkey")
 

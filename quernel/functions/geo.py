@@ -147,22 +147,34 @@ def to_polygon(lat: Column, lng: Column, polygon: Sequence[Point]) -> Column:
 def shape_column(wkt: Column) -> Column:
     """`POLYGON((lng lat, ..))` as closed array<struct<lng, lat>>; null for what is none."""
     inside = F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*\(\(([^()]*)\)\)\s*$", 1)
-    points = F.transform(F.split(inside, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
-    made = F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("double").alias("lng"), F.get(p, F.lit(1)).try_cast("double").alias("lat")))
-    whole = (F.size(made) >= 3) & F.forall(points, lambda p: F.size(p) == 2) & F.forall(made, lambda p: p["lng"].isNotNull() & p["lat"].isNotNull())
-    closed = F.when(F.get(made, F.lit(0)) == F.element_at(made, -1), made).otherwise(F.concat(made, F.slice(made, 1, 1)))
-    return F.when(whole, closed)
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  what `then` uses several times is made once
+
+    def of(points: Column) -> Column:
+        made = F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("double").alias("lng"), F.get(p, F.lit(1)).try_cast("double").alias("lat")))
+        return once(made, lambda m: F.when(whole(points, m), F.when(F.get(m, F.lit(0)) == F.element_at(m, -1), m).otherwise(F.concat(m, F.slice(m, 1, 1)))))
+
+    def whole(points: Column, made: Column) -> Column:
+        return (F.size(made) >= 3) & F.forall(points, lambda p: F.size(p) == 2) & F.forall(made, lambda p: p["lng"].isNotNull() & p["lat"].isNotNull())
+
+    return once(F.transform(F.split(inside, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+")), of)
+
+
+#: Shapes with up to so many edges are tested by compiled code, an expression for each edge.
+UNROLLED = 8
 
 
 def in_shape(lat: Column, lng: Column, shape: Column) -> Column:
-    """Even-odd rule over a column of closed vertices."""
+    """Even-odd rule over a column of closed vertices; a loop over the edges, which Spark interprets, only where there are more than UNROLLED."""
     edges = F.transform(F.sequence(F.lit(1), F.size(shape) - 1), lambda i: F.struct(F.get(shape, i - 1).alias("a"), F.get(shape, i).alias("b")))
 
-    def crosses(e: Column) -> Column:
+    def crosses(e) -> Column:
         x1, y1, x2, y2 = e["a"]["lng"], e["a"]["lat"], e["b"]["lng"], e["b"]["lat"]
         return ((y1 > lat) != (y2 > lat)) & (lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    few = F.lit(0)
+    for i in range(UNROLLED):
+        few = few + F.when(crosses({"a": F.get(shape, F.lit(i)), "b": F.get(shape, F.lit(i + 1))}), 1).otherwise(0)  # an edge that is not there crosses nothing
+    return F.when(F.size(shape) <= UNROLLED + 1, few % 2 == 1).otherwise(F.size(F.filter(edges, crosses)) % 2 == 1)
 
 
 def places_in_shapes(places: DataFrame, shapes: DataFrame, lat: str, lng: str, shape: str, exact: bool = True, bits: int = 5) -> DataFrame:
@@ -170,7 +182,9 @@ def places_in_shapes(places: DataFrame, shapes: DataFrame, lat: str, lng: str, s
 
     Both meet in coarse cells of `bits` bits of latitude and longitude, so it
     is an equality join that deals out and splits like any other; a shape has a
-    row for each coarse cell of its box. Within a cell the box in fine cells
+    row for each coarse cell of its box. Files say nothing of how many rows
+    shapes become, so these are dealt out by cell with the places and not sent
+    to where the places lie, which may be one task. Within a cell the box in fine cells
     decides, then the outline if `exact`.
     """
     shift = 1 << (CELL_BITS - bits)
@@ -181,6 +195,6 @@ def places_in_shapes(places: DataFrame, shapes: DataFrame, lat: str, lng: str, s
     at = places.withColumns({"__lat": cell_lat(F.col(lat)), "__lng": cell_lng(F.col(lng))})
     at = at.withColumns({"__py": coarse(F.col("__lat")), "__px": coarse(F.col("__lng"))})
     inside = (F.col("__py") == F.col("__y")) & (F.col("__px") == F.col("__x")) & F.col("__lat").between(F.col("__a"), F.col("__b")) & F.col("__lng").between(F.col("__c"), F.col("__d"))
-    found = at.join(box, inside)
+    found = at.join(box.hint("merge"), inside)
     found = found.where(in_shape(F.col(lat), F.col(lng), F.col(shape))) if exact else found
     return found.drop("__a", "__b", "__c", "__d", "__y", "__x", "__lat", "__lng", "__py", "__px")
