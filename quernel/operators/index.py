@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,32 +19,79 @@ from ..session import exists, remove
 BUCKETS = 64
 
 
-def postings(docs: DataFrame, key: str, field: str, analyzer: str = "word", positions: int | None = None, only: Sequence[str] | None = None) -> DataFrame:
-    """doc_id, field, term, tf, positions (all, or the first ones) for each document and term.
+#: Tokens that are grouped at a time, a document at least.
+TOKENS = 2_000_000
+_BLOCKS = "term string, docs array<string>, tfs array<int>, starts array<int>, places array<int>, df int, total int"
+
+
+def blocks(docs: DataFrame, key: str, field: str, analyzer: str = "word", only: Sequence[str] | None = None) -> DataFrame:
+    """Postings by term, a row for each term of a few thousand documents: their ids, term frequencies, and places one after the other (`starts`: where a document's begin).
 
-    Terms of one document stay with it: sorting its terms with their places
-    groups them in the row, so building postings needs no shuffle. `only` names
-    the terms wanted, if not all are.
+    Texts are analysed by Spark; Arrow batches of terms are grouped by one sort
+    of their numbers, so that no posting is a row until it is asked for.
     """
+
+    def grouped(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words, begins = batch.column(1).flatten(), np.concatenate([[0], np.cumsum(lengths)])
+            low = 0
+            while low < len(lengths):
+                high = max(low + 1, int(np.searchsorted(begins, begins[low] + TOKENS, "right")) - 1)
+                coded = words.slice(begins[low], begins[high] - begins[low]).dictionary_encode()
+                code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(high - low, dtype=np.int32), lengths[low:high])
+                at = (np.arange(len(code)) - np.repeat(begins[low:high] - begins[low], lengths[low:high])).astype(np.int32)
+                wanted = code >= 0
+                if only is not None:
+                    wanted &= np.append(pc.is_in(coded.dictionary, value_set=pa.array(list(only), coded.dictionary.type)).to_numpy(zero_copy_only=False), False)[code]
+                code, doc, at = code[wanted], doc[wanted], at[wanted]
+                if len(code):
+                    order = np.argsort(code.astype(np.uint16) if len(coded.dictionary) <= 1 << 16 else code, kind="stable")
+                    code, doc, at = code[order], doc[order], at[order]
+                    one = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))  # each posting's first token
+                    term = np.flatnonzero(np.append(True, code[one][1:] != code[one][:-1]))  # each term's first posting
+                    ends, n = np.append(term, len(one)), np.diff(np.append(one, len(code)))
+                    places = np.append(one[term], len(code))
+                    of_docs = batch.column(0).slice(low, high - low).take(pa.array(doc[one]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            coded.dictionary.take(pa.array(code[one[term]])), lists(ends, of_docs), lists(ends, pa.array(n, pa.int32())), lists(ends, pa.array(one - np.repeat(one[term], np.diff(ends)), pa.int32())),
+                            lists(places, pa.array(at)), pa.array(np.diff(ends), pa.int32()), pa.array(np.diff(places), pa.int32()),
+                        ],
+                        ["term", "docs", "tfs", "starts", "places", "df", "total"],
+                    )
+                low = high
+
     terms = docs.select(F.col(key).cast("string").alias("doc_id"), text.analyze(analyzer, F.col(field)).alias("t"))
-    placed = F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("at")))
-    wanted = (lambda x: x["term"].isNotNull()) if only is None else (lambda x: x["term"].isin(list(only)))
-    placed = F.array_sort(F.filter(placed, wanted))
-    at = F.col("found")
-    ends = F.filter(F.transform(at, lambda x, i: F.struct(x["term"].alias("term"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(F.col("found"), x["i"] - 1)["term"] != x["term"]))
-    rows = terms.select("doc_id", placed.alias("found")).select("doc_id", "found", ends.alias("heads"))
-    spans = F.transform("heads", lambda h, j: F.struct(h["term"].alias("term"), h["i"].alias("a"), F.coalesce(F.get(F.col("heads"), j + 1)["i"], F.size("found")).alias("b")))
-    one = rows.select("doc_id", "found", F.explode(spans).alias("s"))
-    tf = F.col("s.b") - F.col("s.a")
-    return one.select("doc_id", F.lit(field).alias("field"), F.col("s.term").alias("term"), tf.alias("tf"), F.transform(F.slice("found", F.col("s.a") + 1, tf if positions is None else F.least(tf, F.lit(positions))), lambda x: x["at"]).alias("positions"))
-
-
-def index_documents(docs: DataFrame, spec: IndexSpec) -> DataFrame:
-    """Postings of every indexed text field; a document's `version` goes along if there is one."""
+    return terms.mapInArrow(grouped, _BLOCKS).withColumn("field", F.lit(field))
+
+
+def unpacked(made: DataFrame) -> DataFrame:
+    """The rows of `blocks`: doc_id, field, term, tf, positions, and the bucket if there is one."""
+    more = [c for c in ("bucket",) if c in made.columns]
+    one = made.select("field", "term", "tfs", "starts", "places", *more, F.posexplode("docs").alias("i", "doc_id"))
+    tf = F.get("tfs", F.col("i"))
+    return one.select("doc_id", "field", "term", tf.alias("tf"), F.slice("places", F.get("starts", F.col("i")) + 1, tf).alias("positions"), *more)
+
+
+def postings(docs: DataFrame, key: str, field: str, analyzer: str = "word", positions: int | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, field, term, tf, positions (all, or the first ones) for each document and term, without a shuffle. `only` names the terms wanted, if not all are."""
+    rows = unpacked(blocks(docs, key, field, analyzer, only))
+    return rows if positions is None else rows.withColumn("positions", F.slice("positions", 1, positions))
+
+
+def index_documents(docs: DataFrame, spec: IndexSpec, made: Callable[..., DataFrame] = postings) -> DataFrame:
+    """Postings (or `blocks`) of every indexed text field; a document's `version` goes along if there is one."""
     out = None
     for f in spec.fields.values():
         if f.indexed and f.kind in ("string", "text") and f.analyzer in ("word", "keyword", "ngram"):
-            one = postings(docs, spec.key, f.name, f.analyzer)
+            one = made(docs, spec.key, f.name, f.analyzer)
             out = one if out is None else out.union(one)
     if out is None:
         raise ValueError("no text field is indexed")
@@ -56,13 +103,13 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 
 
 def write_postings(made: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
-    """Partitioned by field and a bucket of the term, sorted by term, so that a lookup reads one folder and skips most of it.
+    """Rows or blocks partitioned by field and a bucket of the term, sorted by term, so that a lookup reads one folder and skips most of it.
 
     Rows are dealt by folder and rebalanced: adaptive plans cut a large bucket,
     or one hot term, over several tasks and files and join small ones.
     """
     rows = made.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", F.col("field"), F.col("bucket"))
-    rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.mode(mode).partitionBy("field", "bucket").parquet(path)
+    rows.sortWithinPartitions("field", "bucket", "term", *[c for c in ("doc_id",) if c in made.columns]).write.mode(mode).partitionBy("field", "bucket").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -105,10 +152,10 @@ def write_store(docs: DataFrame, spec: IndexSpec, path: str, buckets: int = BUCK
     old, new = _last(spark, path), uuid.uuid4().hex[:8]
     number = (old[0] if old else 0) + 1
     root = f"{path}/g{number:08d}-{new}"
-    write_postings(index_documents(docs, spec), f"{root}/postings", buckets)
-    made = spark.read.parquet(f"{root}/postings")
+    write_postings(index_documents(docs, spec, blocks), f"{root}/blocks", buckets)
+    made = spark.read.schema(f"{_BLOCKS}, field string, bucket int").parquet(f"{root}/blocks")
     n = docs.count()
-    stats = made.groupBy("field", "bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf")).withColumns({"n_docs": F.lit(n), "buckets": F.lit(buckets)})
+    stats = made.groupBy("field", "bucket", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total_tf")).withColumns({"n_docs": F.lit(n), "buckets": F.lit(buckets)})
     stats.hint("rebalance", F.col("field"), F.col("bucket")).sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{root}/stats")
     if old:
         remove(spark, old[1])
@@ -125,9 +172,12 @@ def open_store(spark: SparkSession, path: str) -> Store:
 
 
 def _open(spark: SparkSession, root: str, buckets: int, n: int) -> Store:
-    kinds = "doc_id string, field string, term string, tf int, positions array<int>, bucket int"
     stats = "field string, term string, df long, total_tf long, bucket int"
-    return Store(spark.read.schema(kinds).parquet(f"{root}/postings"), spark.read.schema(stats).parquet(f"{root}/stats"), n, buckets)
+    if exists(spark, f"{root}/postings"):  # written a row for each posting
+        made = spark.read.schema("doc_id string, field string, term string, tf int, positions array<int>, bucket int").parquet(f"{root}/postings")
+    else:
+        made = unpacked(spark.read.schema(f"{_BLOCKS}, field string, bucket int").parquet(f"{root}/blocks"))
+    return Store(made, spark.read.schema(stats).parquet(f"{root}/stats"), n, buckets)
 
 
 def _last(spark: SparkSession, path: str) -> tuple[int, str] | None:
