@@ -28,8 +28,8 @@ from . import dsl
 #: The number of documents that scores assume, and how fast repeats of a term stop counting.
 N_DOCS, K1, K = 10_000, 1.2, 1.65
 HIGHLIGHTS = 10
-#: Terms that a batch of requests looks up by constants.
-FEW = 200
+#: Terms that a batch of requests looks up by constants, and its terms that are sent to the postings.
+FEW, SENT = 200, 200_000
 
 
 def term_score(df: Column, tf: Column, n_docs: int = N_DOCS) -> Column:
@@ -342,12 +342,14 @@ def batch_lookup(store: Store, queries: DataFrame, field: str, k: int = 10, n_do
     """`batch_search` over a written index: statistics are joined, not counted.
 
     Up to FEW different terms are looked up by constants, which reads their
-    folders only; more are joined by bucket and term.
+    folders only; more are joined by bucket and term. Up to SENT terms of
+    requests go to where the postings are, which then need not move.
     """
     asked = queries.select("query_id", "term", bucket_of(F.col("term"), store.buckets).alias("bucket")).distinct()
     some = [(field, r[0]) for r in asked.select("term").where("term is not null").distinct().limit(FEW + 1).collect()]
     of = (lambda t: store.lookup(t, some)) if len(some) <= FEW else (lambda t: t.where(F.col("field") == field))
     known = asked.join(of(store.stats).select("bucket", "term", "df"), ["bucket", "term"])
+    known = F.broadcast(known) if asked.limit(SENT + 1).count() <= SENT else known
     hits = of(store.postings).select("bucket", "term", "doc_id", "tf").join(known, ["bucket", "term"])
     return _ranked(hits, k, n_docs)
 
