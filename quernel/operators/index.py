@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text
@@ -21,7 +22,13 @@ BUCKETS = 64
 
 #: Tokens that are grouped at a time, a document at least.
 TOKENS = 2_000_000
-_BLOCKS = "term string, docs array<string>, tfs array<int>, starts array<int>, places array<int>, df int, total int"
+_BLOCKS = "term string, docs array<%s>, tfs array<int>, starts array<int>, places array<int>, df int, total int"
+#: What ids are kept as in blocks: whole numbers as numbers, others as text.
+_IDS = "bigint", "string"
+
+
+def _id_kind(docs: DataFrame, key: str) -> str:
+    return _IDS[0] if isinstance(docs.schema[key].dataType, T.IntegralType) else _IDS[1]
 
 
 def blocks(docs: DataFrame, key: str, field: str, analyzer: str = "word", only: Sequence[str] | None = None) -> DataFrame:
@@ -68,8 +75,9 @@ def blocks(docs: DataFrame, key: str, field: str, analyzer: str = "word", only:
                     )
                 low = high
 
-    terms = docs.select(F.col(key).cast("string").alias("doc_id"), text.analyze(analyzer, F.col(field)).alias("t"))
-    return terms.mapInArrow(grouped, _BLOCKS).withColumn("field", F.lit(field))
+    kind = _id_kind(docs, key)
+    terms = docs.select(F.col(key).cast(kind).alias("doc_id"), text.analyze(analyzer, F.col(field)).alias("t"))
+    return terms.mapInArrow(grouped, _BLOCKS % kind).withColumn("field", F.lit(field))
 
 
 def unpacked(made: DataFrame) -> DataFrame:
@@ -77,7 +85,7 @@ def unpacked(made: DataFrame) -> DataFrame:
     more = [c for c in ("bucket",) if c in made.columns]
     one = made.select("field", "term", "tfs", "starts", "places", *more, F.posexplode("docs").alias("i", "doc_id"))
     tf = F.get("tfs", F.col("i"))
-    return one.select("doc_id", "field", "term", tf.alias("tf"), F.slice("places", F.get("starts", F.col("i")) + 1, tf).alias("positions"), *more)
+    return one.select(F.col("doc_id").cast("string").alias("doc_id"), "field", "term", tf.alias("tf"), F.slice("places", F.get("starts", F.col("i")) + 1, tf).alias("positions"), *more)
 
 
 def postings(docs: DataFrame, key: str, field: str, analyzer: str = "word", positions: int | None = None, only: Sequence[str] | None = None) -> DataFrame:
@@ -152,8 +160,9 @@ def write_store(docs: DataFrame, spec: IndexSpec, path: str, buckets: int = BUCK
     old, new = _last(spark, path), uuid.uuid4().hex[:8]
     number = (old[0] if old else 0) + 1
     root = f"{path}/g{number:08d}-{new}"
-    write_postings(index_documents(docs, spec, blocks), f"{root}/blocks", buckets)
-    made = spark.read.schema(f"{_BLOCKS}, field string, bucket int").parquet(f"{root}/blocks")
+    kind = _id_kind(docs, spec.key)
+    write_postings(index_documents(docs, spec, blocks), f"{root}/blocks-{kind}", buckets)
+    made = _read_blocks(spark, root, kind)
     n = docs.count()
     stats = made.groupBy("field", "bucket", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total_tf")).withColumns({"n_docs": F.lit(n), "buckets": F.lit(buckets)})
     stats.hint("rebalance", F.col("field"), F.col("bucket")).sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{root}/stats")
@@ -176,10 +185,14 @@ def _open(spark: SparkSession, root: str, buckets: int, n: int) -> Store:
     if exists(spark, f"{root}/postings"):  # written a row for each posting
         made = spark.read.schema("doc_id string, field string, term string, tf int, positions array<int>, bucket int").parquet(f"{root}/postings")
     else:
-        made = unpacked(spark.read.schema(f"{_BLOCKS}, field string, bucket int").parquet(f"{root}/blocks"))
+        made = unpacked(_read_blocks(spark, root, next(x for x in _IDS if exists(spark, f"{root}/blocks-{x}"))))
     return Store(made, spark.read.schema(stats).parquet(f"{root}/stats"), n, buckets)
 
 
+def _read_blocks(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"{_BLOCKS % kind}, field string, bucket int").parquet(f"{root}/blocks-{kind}")
+
+
 def _last(spark: SparkSession, path: str) -> tuple[int, str] | None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
